@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import ngram_join, packing, substring_dedup
+from .shared import pick
 
 #: Where the public tokenizer files are; a parameter of the packing query.
 TOKENIZER = "word_bpe_49k.json"
@@ -23,13 +24,28 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left when windows of 20 words that start earlier elsewhere are removed."""
+    done = substring_dedup.remove_repeats(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut, packed into sequences of 2048 ids; one row for each piece."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles have a Jaccard index of 0.75 or more."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_harmonic_packing": op2_harmonic_packing}
+    return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op2_harmonic_packing": op2_harmonic_packing,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
