@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, substring_dedup
+from . import decontaminate, language_id, ngram_join, packing, substring_dedup
 from .shared import pick
 
 #: Where the public tokenizer files are; a parameter of the packing query.
@@ -35,6 +35,18 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; those of no known language are not accepted."""
+    found = language_id.identify(pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source"))
+    return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), (F.col("language") != language_id.UNKNOWN).alias("accepted"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, with the alignment's score and place."""
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), "first_word", "last_word")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingles have a Jaccard index of 0.75 or more."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -44,6 +56,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_harmonic_packing": op2_harmonic_packing,
+        "op4_language_id": op4_language_id,
+        "op5_decontamination": op5_decontamination,
         "op8_ngram_jaccard": op8_ngram_jaccard,
     }
 

@@ -22,6 +22,9 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words where words are letters and digits only; bytes from 0x80 up belong to words.
+NOT_ALNUM = np.ones(256, dtype=bool)
+NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -62,9 +65,9 @@ class Words:
 
     __slots__ = ("data", "doc", "end", "first", "hash", "start")
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, between: np.ndarray = _SPACE):
         joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-        space = _SPACE[joined]
+        space = between[joined]
         edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))
         self.data, self.start, self.end = joined, edge[::2], edge[1::2]
         if len(self.end) < len(self.start):
