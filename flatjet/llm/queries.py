@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, ngram_join, packing, substring_dedup
+from . import decontaminate, language_id, license_scan, ngram_join, packing, substring_dedup
 from .shared import pick
 
 #: Where the public tokenizer files are; a parameter of the packing query.
@@ -35,6 +35,11 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; those of no known language are not accepted."""
     found = language_id.identify(pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source"))
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_harmonic_packing": op2_harmonic_packing,
+        "op3_license_scan": op3_license_scan,
         "op4_language_id": op4_language_id,
         "op5_decontamination": op5_decontamination,
         "op8_ngram_jaccard": op8_ngram_jaccard,
