@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -15,23 +16,63 @@ from .shared import stored
 from .textkit import texts_of
 
 #: Words whose ids one Python worker remembers; further ones are encoded again in each batch.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 #: Remainders are cut at multiples of this many tokens, so a document gets few pieces.
 GRAIN = 16
 #: Pieces in a bucket that one worker fills by itself.
 BUCKET_ROWS = 50_000
 
+#: A word of its own in the vocabulary, put between words that are encoded together.
+_MARK = "\x01"
 _encoders: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 
 
 def _encoder(path: str) -> tuple[object, dict[bytes, bytes]]:
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
         _encoders[path] = (Tokenizer.from_file(path), {})
     return _encoders[path]
 
 
+def _encode_words(tokenizer, words: list[bytes]) -> dict[bytes, bytes]:
+    """Ids of each word, many at a time: a mark between words shows where each ends."""
+    out: dict[bytes, bytes] = {}
+    (mark,) = tokenizer.encode(_MARK, add_special_tokens=False).ids
+    plain = [w for w in words if _MARK.encode() not in w]
+    parts = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+    for part, coded in zip(parts, tokenizer.encode_batch_fast([f" {_MARK} ".join([w.decode() for w in p]) for p in parts], add_special_tokens=False), strict=True):
+        ids = np.array(coded.ids, dtype="<u4")
+        raw, edge = ids.tobytes(), np.flatnonzero(ids == mark)
+        begins, ends = [0, *(4 * (edge + 1)).tolist()], [*(4 * edge).tolist(), len(raw)]
+        out.update(zip(part, [raw[a:b] for a, b in zip(begins, ends, strict=True)], strict=True))
+    for w in words if len(plain) < len(words) else ():
+        if w not in out:
+            out[w] = np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+    return out
+
+
+def _stem(word: bytes) -> tuple[bytes, bytes]:
+    """A word and a last full stop or comma whose ids, one after the other, are the given word's.
+
+    The vocabulary lower-cases and puts letters and punctuation in different
+    parts; the case of words with other than ASCII letters is left as it is, as
+    composed letters depend on it.
+    """
+    if word.isascii():
+        if b"<|" in word:
+            return word, b""
+        word = word.lower()
+        if word[-1:] in (b".", b",") and word[:-1].isalnum():
+            return word[:-1], word[-1:]
+    elif word[-1:] in (b".", b","):
+        stem = word[:-1].decode()
+        if stem.isalpha() and max(stem) < "\u0250":
+            return word[:-1], word[-1:]
+    return word, b""
+
+
 def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian 32-bit values.
 
@@ -40,22 +81,16 @@ def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
     """
     tokenizer, known = _encoder(path)
     words = [t.split() for t in texts]
-    fresh = list({w for ws in words for w in ws if w not in known})
-    more: dict[bytes, bytes] = {}
-    for i in range(0, len(fresh), 4096):
-        part = fresh[i : i + 4096]
-        coded = tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(coded.ids, dtype="<u4")
-        of = np.array(coded.word_ids, dtype=np.int64)
-        edge = np.searchsorted(of, np.arange(len(part) + 1))
-        raw = ids.tobytes()
-        for w, a, b in zip(part, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            more[w] = raw[4 * a : 4 * b]
-    room = max(0, CACHE_WORDS - len(known))
-    known.update(islice(more.items(), room))
-    held, new = known.get, more.get
-    for ws in words:
-        yield b"".join([held(w) or new(w, b"") for w in ws])
+    found = [list(map(known.get, ws)) for ws in words]
+    fresh = {w for ws, ids in zip(words, found, strict=True) for w, x in zip(ws, ids, strict=True) if x is None}
+    split = {w: _stem(w) for w in fresh}
+    stems = {x for both in split.values() for x in both}
+    more = _encode_words(tokenizer, [x for x in stems if x not in known])
+    held = lambda x: more[x] if x in more else known[x]
+    more |= {w: held(stem) + held(mark) if mark else held(stem) for w, (stem, mark) in split.items()}
+    known.update(islice(more.items(), max(0, CACHE_WORDS - len(known))))
+    for ws, ids in zip(words, found, strict=True):
+        yield b"".join([more[w] if x is None else x for w, x in zip(ws, ids, strict=True)])
 
 
 def cuts(n: int, capacity: int, grain: int = GRAIN) -> list[int]:
