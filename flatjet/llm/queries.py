@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, ngram_join, packing, substring_dedup
+from . import decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, substring_dedup, url_filter
 from .shared import pick
 
 #: Where the public tokenizer files are; a parameter of the packing query.
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: The rules of the URL query (verdict, host, path).
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("block", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,11 +62,21 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), "first_word", "last_word")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more among vectors of one label, and their components."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingles have a Jaccard index of 0.75 or more."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page by rule or, without one, by its aliases."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -64,7 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op4_language_id": op4_language_id,
         "op5_decontamination": op5_decontamination,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
+        "op9_url_filter": op9_url_filter,
     }
 
 
