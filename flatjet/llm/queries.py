@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, substring_dedup, url_filter
+from . import decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, quality_cnn, substring_dedup, url_filter
 from .shared import pick
 
 #: Where the public tokenizer files are; a parameter of the packing query.
@@ -77,6 +77,15 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a network fit on the labels outside of fold 0."""
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    out = quality_cnn.fold(F.col("doc_id")) == 0
+    net = quality_cnn.train(docs, table(spark, sf_dir, "labels").where(~out))
+    scored = quality_cnn.score(docs, net)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -87,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_embedding_dedup": op6_embedding_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_url_filter": op9_url_filter,
+        "op10_quality_cnn": op10_quality_cnn,
     }
 
 
