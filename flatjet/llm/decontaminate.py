@@ -86,7 +86,7 @@ def find_leaks(
 
     def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(1))
+            texts = texts_of(batch.column(1))[:]
             w = Words(texts, lower=True, between=NOT_ALNUM)
             h, doc, pos = grams(w)
             edge = np.searchsorted(doc, np.arange(len(texts) + 1))

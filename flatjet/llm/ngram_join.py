@@ -167,7 +167,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     shared = entries.withColumns({"lo": F.min("cid").over(bucket), "hi": F.max("cid").over(bucket)}).where("lo <> hi")
     shared = stored(shared.select("token", "cid", "np").dropDuplicates(["token", "cid"]), "buckets")
 
-    n, p = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    n, p = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     passes = _may_match(n("np"), p("np"), n("np2"), p("np2"), percent)
     tried = links = labels = None
 
@@ -183,7 +183,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         now = labelled()
         if step < CHAIN_ROUNDS:
             # By size: each with the one before it and with the first of its bucket; later with other neighbours.
-            key = ["np", "cid"] if step == 0 else [F.shiftright("np", 35), F.xxhash64("cid", F.lit(step))]
+            key = [n("np"), "cid"] if step == 0 else [F.shiftright("np", 35), F.xxhash64("cid", F.lit(step))]
             by = bucket.orderBy(*key)
             whole = F.struct(F.col("cid").alias("cid2"), F.col("np").alias("np2"), F.col("c").alias("c2"))
             near = now.withColumns({"before": F.lag(whole).over(by), "head": F.first(whole).over(by)})

@@ -129,7 +129,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     text = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     data = text.join(chosen, "id").select("t", "y", F.xxhash64("t").alias("h")).orderBy("h", "y").toArrow()
     net = Network()
-    net.fit(texts_of(data["t"]), data["y"].to_numpy().astype(np.float32))
+    net.fit(list(texts_of(data["t"])), data["y"].to_numpy().astype(np.float32))
     return net
 
 

@@ -11,9 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 
 _WORD_BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM_BASE = 0xC2B2AE3D27D4EB4F | 1
@@ -96,22 +97,39 @@ def gram(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    """UTF-8 bytes of a string column; null is empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [x or b"" for x in column.cast(kind).to_pylist()]
+class Texts:
+    """UTF-8 bytes of a string column, null as empty; made as they are asked for."""
 
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        self.column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+        self.size = pc.fill_null(pc.binary_length(self.column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-def slices(texts: list[bytes], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def __getitem__(self, part: slice) -> list[bytes]:
+        lo, hi, _ = part.indices(len(self))
+        return [x or b"" for x in self.column.slice(lo, hi - lo).to_pylist()]
+
+    def __iter__(self) -> Iterator[bytes]:
+        for x in self.column:
+            yield x.as_py() or b""
+
+
+def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
+    return Texts(column)
+
+
+def slices(texts: Texts, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents that together hold ``most`` bytes or are one document."""
     begin = held = 0
-    for i, text in enumerate(texts):
-        if i > begin and held + len(text) > most:
+    for i, size in enumerate(texts.size.tolist()):
+        if i > begin and held + size > most:
             yield begin, i
             begin, held = i, 0
-        held += len(text)
+        held += size
     if begin < len(texts):
         yield begin, len(texts)
 
