@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, quality_cnn, substring_dedup, url_filter
+from . import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, quality_cnn, substring_dedup, url_filter
 from .shared import pick
 
 #: Where the public tokenizer files are; a parameter of the packing query.
@@ -24,6 +24,14 @@ URL_RULES = [
 ]
 
 
+#: Tools whose arguments the chat query checks.
+CHAT_TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "calculator": {"expression": ("string", True)},
+    "get_weather": {"city": ("string", True), "days": ("integer", False), "metric": ("boolean", False)},
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,6 +75,11 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical records of every message, with tool calls linked to their results."""
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"), CHAT_TOOLS)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingles have a Jaccard index of 0.75 or more."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
@@ -94,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_decontamination": op5_decontamination,
         "op6_embedding_dedup": op6_embedding_dedup,
+        "op7_chat_format": op7_chat_format,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_url_filter": op9_url_filter,
         "op10_quality_cnn": op10_quality_cnn,
