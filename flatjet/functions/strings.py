@@ -22,7 +22,7 @@ def ascii_lower(c: Column) -> Column:
 
 def truncate_bytes(c: Column, size: int) -> Column:
     """The first ``size`` bytes; a character cut in half is what decoding makes of it."""
-    return F.when(F.octet_length(c) <= size, c).otherwise(F.decode(F.substring(c.cast("binary"), 1, size), "UTF-8"))
+    return F.when(F.octet_length(c) <= size, c).otherwise(F.substring(c.cast("binary"), 1, size).cast("string"))
 
 
 def _term(code: int, place: int, multiplier: int, modulus: int, lanes: int) -> int:

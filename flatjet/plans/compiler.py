@@ -134,7 +134,7 @@ class FastPlan:
                 item = F.get(at, F.lit(i))
                 if mixed and not isinstance(child, Leaf) or mixed and _json_type(child) != T.StringType():
                     item = _reread(item, child)
-                yield from self._walk(child, item, F.get_json_object(raw, f"$[{i}]"), F.size(at) > i)
+                yield from self._walk(child, item, F.get_json_object(raw, f"$[{i}]"), F.coalesce(F.size(at) > i, F.lit(False)))
         elif isinstance(node, Leaf):
             yield node, at, (absent if absent is not None else F.lit(True)) & at.isNull()
 

@@ -21,6 +21,9 @@ class _Missing:
     def __repr__(self) -> str:
         return "NO_DEFAULT"
 
+    def __reduce__(self) -> str:
+        return "NO_DEFAULT"  # one object, on executors too
+
 
 #: A leaf without a null default: JSON null is then a row error.
 NO_DEFAULT = _Missing()

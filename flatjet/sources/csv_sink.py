@@ -15,7 +15,7 @@ def csv_lines(df: DataFrame) -> DataFrame:
             # %g drops no zeros in the JVM, so trailing ones are cut.
             six = F.format_string("%.6g", c.cast("double"))
             text = F.regexp_replace(F.regexp_replace(six, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
-            c = F.when(F.isnan(c), F.lit("nan")).when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).otherwise(text)
+            c = F.when(c.isNull(), F.lit("")).when(F.isnan(c), F.lit("nan")).when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).otherwise(text)
         cells.append(F.coalesce(c.cast("string"), F.lit("")))
     return df.select(F.concat_ws(",", *cells).alias("value"))
 
