@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, quality_cnn, substring_dedup, url_filter
+from . import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, quality_cnn, sql, substring_dedup, url_filter
 from .shared import pick
 
 #: Where the public tokenizer files are; a parameter of the packing query.
@@ -115,4 +115,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_substring_dedup": sql.OP1,
+        "op6_embedding_dedup": sql.OP6,
+        "op8_ngram_jaccard": sql.OP8,
+        "op9_url_filter": sql.op9(URL_RULES),
+    }
