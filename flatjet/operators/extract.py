@@ -35,7 +35,7 @@ def extract(df: DataFrame, schema: object, column: str = "value", engine: str =
         return _strict(df, schema, column, errors, keep or [])
     text = F.col(f"`{column}`")
     # A struct of what is kept, so that names cannot clash with the parsed column.
-    base = df.select(text.alias("text"), F.struct(*kept, F.lit(0).alias("_")).alias("row")).withColumn("p", plan.parsed(F.col("text")))
+    base = df.select(text.alias("text"), F.struct(*kept, F.lit(0).alias("_")).alias("row")).withColumn("p", plan.parsed(F.col("text"), bool(errors)))
     out = [F.col(f"row.`{c}`").alias(c) for c in keep or []] + _finish(base, plan.values(F.col("p"), F.col("text")))
     if errors:
         out.append(plan.error(F.col("p"), F.col("text")).alias(errors))

@@ -77,6 +77,8 @@ def finished(leaf: Leaf, value: Column, explicit_null: Column, kind: T.DataType)
     rest = zero_of(kind)
     if leaf.null is not NO_DEFAULT:
         rest = F.when(explicit_null, F.lit(leaf.null).cast(kind)).otherwise(rest)
+    if leaf.transform is None:
+        return F.coalesce(value, rest)
     return F.when(value.isNotNull(), transformed(leaf, value)).otherwise(rest)
 
 
@@ -117,9 +119,10 @@ class FastPlan:
 
         return look(self.root, True)
 
-    def parsed(self, text: Column) -> Column:
-        kind = T.StructType([*self.kind.fields, T.StructField(CORRUPT, T.StringType())])
-        return F.from_json(text, kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    def parsed(self, text: Column, errors: bool = True) -> Column:
+        """What ``from_json`` reads; broken lines are noted only if errors are asked for."""
+        noted = [T.StructField(CORRUPT, T.StringType())] if errors else []
+        return F.from_json(text, T.StructType([*self.kind.fields, *noted]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
 
     def _walk(self, node: object, at: Column, raw: Column, absent: Column | None):
         """(leaf, value read, whether JSON null stands there) of each leaf; ``raw`` is the text of ``node``."""
