@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, partitions
+
+#: Edges for each task of a round.
+TASK_EDGES = 50_000
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -33,6 +36,7 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     Returns ``node`` and ``component`` (both of the type of ``src``). Null ends,
     loops and repeated edges are ignored; an empty table gives no rows.
     """
+    spark = edges.sparkSession
     edges = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     nodes = edges.where("u <> v")
     now = cut(nodes.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -42,6 +46,8 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
         if mark == state or mark[0] == 0:
             break
         state = mark
-        now = cut(_small(_large(now)).where("u <> v").distinct())
+        # Few edges need few tasks and files, whatever the session's number of partitions.
+        parts = min(partitions(spark), 1 + mark[0] // TASK_EDGES)
+        now = cut(_small(_large(now.coalesce(parts)).coalesce(parts)).where("u <> v").distinct().coalesce(parts))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
