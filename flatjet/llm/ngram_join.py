@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -15,8 +15,11 @@ from .textkit import Words, gram, mix, signed, slices, texts_of
 
 #: Counters of the frequency sketch (2**18) and bits of the candidate filter (2**22); both fixed.
 SKETCH_BITS, FILTER_BITS = 18, 22
-#: Rounds of linking along buckets before the exact join of what is left apart.
-CHAIN_ROUNDS = 2
+#: Counters of a set's signature, a histogram of its hashes that bounds overlaps from above.
+SIGNATURE = 128
+#: Rows before it that each row of a bucket is paired with, and in how many other orders those of larger buckets are,
+#: among sizes that differ by less than 2**SIMILAR_SIZE, before all pairs that are still apart are joined.
+NEAR, ORDERS, SIMILAR_SIZE = 3, 4, 3
 
 
 class Shingles:
@@ -45,6 +48,12 @@ class Shingles:
         self.set_hash = mix(parts[0] ^ mix(parts[1] + self.count.astype(np.uint64)))
 
 
+    def signatures(self) -> pa.Array:
+        cell = self.doc * SIGNATURE + (self.hash >> np.uint64(57)).astype(np.int64)
+        held = np.minimum(np.bincount(cell, minlength=len(self.count) * SIGNATURE), 255).astype(np.uint8).reshape(-1, SIGNATURE)
+        return pa.array([row.tobytes() for row in held], pa.binary())
+
+
 def _least_overlap(n: int | np.ndarray, percent: int):
     return -(-percent * n // 100)
 
@@ -53,6 +62,26 @@ def _filter_word(cid):
     return F.shiftrightunsigned(cid, 64 - FILTER_BITS)
 
 
+def _overlap_bound(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Upper bound of the overlap of sets from their signatures; a full counter bounds nothing."""
+    a, b = (np.frombuffer(b"".join(v.to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE).astype(np.int64) for v in (x, y))
+    a[a == 255], b[b == 255] = 1 << 40, 1 << 40
+    return np.minimum(a, b).sum(axis=1)
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures allow enough overlap (a suffix filter); no similar pair fails."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            good = pa.array(_overlap_bound(batch.column(4), batch.column(5)) >= -(-percent * n // (100 + percent)))
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], ["a", "b"])
+
+    one, two = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
+    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(check, "a long, b long"))
+
+
 def _verified(source: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set hashes whose sets are similar enough; each is tried once."""
     spark = source.sparkSession
@@ -114,10 +143,11 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     is joined once. Each class emits the prefix of its set in rare-first order;
     frequencies come from a sketch of fixed size over all documents, and only
     the order depends on them. Classes that share a prefix shingle and pass the
-    length and positional filters become candidates: first neighbours in each
-    bucket by size, then, among classes that are still in different
-    components, every pair. So no link between different components is lost,
-    while a group of near copies is not expanded into all its pairs.
+    length, positional and suffix filters are verified once. In large buckets
+    neighbours in several orders are linked first, and in the end every pair
+    whose classes are still in different components is joined and tried. So no link between
+    different components is lost, while a group of near copies is not expanded
+    into all its pairs.
 
     Returns one row per document: ``id_col``, n_shingles, component_id (the
     smallest id reachable) and class_id (hash of the set). Null or blank texts
@@ -130,17 +160,17 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        names = ["id", "cid", "n", "slot"]
+        names = ["id", "cid", "n", "sig", "slot"]
         for batch in batches:
             texts = texts_of(batch.column(1))
             for lo, hi in slices(texts):
                 s = Shingles(texts[lo:hi], shingle)
                 counts += np.bincount((s.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(signed(s.set_hash)), pa.array(s.count), pa.nulls(hi - lo, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(signed(s.set_hash)), pa.array(s.count), s.signatures(), pa.nulls(hi - lo, pa.int64())], names)
         slot = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.array(counts[slot]), pa.array(slot)], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.array(counts[slot]), pa.nulls(len(slot), pa.binary()), pa.array(slot)], names)
 
-    known = stored(source.mapInArrow(survey, "id long, cid long, n long, slot long"), "sets")
+    known = stored(source.mapInArrow(survey, "id long, cid long, n long, sig binary, slot long"), "sets")
     members = known.where("slot is null").select("id", "cid", "n")
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     table = known.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -162,45 +192,51 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
                 use = (place < n - _least_overlap(n, percent) + 1) & once[s.doc]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(s.hash[order][use])), pa.array(cid[s.doc[use]]), pa.array(n[use] << 32 | place[use])], ["token", "cid", "np"])
 
-    entries = source.mapInArrow(prefixes, "token long, cid long, np long")
+    n, p = (lambda c: F.shiftright(c, 32)), (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)))
     bucket = Window.partitionBy("token")
-    shared = entries.withColumns({"lo": F.min("cid").over(bucket), "hi": F.max("cid").over(bucket)}).where("lo <> hi")
-    shared = stored(shared.select("token", "cid", "np").dropDuplicates(["token", "cid"]), "buckets")
-
-    n, p = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    passes = _may_match(n("np"), p("np"), n("np2"), p("np2"), percent)
-    tried = links = labels = None
-
-    def labelled() -> DataFrame:
-        """Entries of buckets that hold more than one component."""
-        if labels is None:
-            return shared.withColumn("c", F.col("cid"))
-        named = shared.join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left")
-        named = named.select("token", "cid", "np", F.coalesce("component", "cid").alias("c"))
-        return named.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket)}).where("lo <> hi").drop("lo", "hi")
-
-    for step in range(CHAIN_ROUNDS + 1):
-        now = labelled()
-        if step < CHAIN_ROUNDS:
-            # By size: each with the one before it and with the first of its bucket; later with other neighbours.
-            key = [n("np"), "cid"] if step == 0 else [F.shiftright("np", 35), F.xxhash64("cid", F.lit(step))]
-            by = bucket.orderBy(*key)
-            whole = F.struct(F.col("cid").alias("cid2"), F.col("np").alias("np2"), F.col("c").alias("c2"))
-            near = now.withColumns({"before": F.lag(whole).over(by), "head": F.first(whole).over(by)})
-            near = near.withColumn("o", F.explode(F.array("before", "head"))).select("cid", "np", "c", "o.*")
+
+    def neighbours(rows: DataFrame, orders: list[list], part: str, wide: Column) -> DataFrame:
+        """Rows with the candidates before each in every order, as an array of set hashes: ``NEAR`` rows where ``wide``, else one."""
+        whole = F.struct(F.col("cid"), F.col("np"), F.col(part).alias("part"))
+        names = {f"o{i}_{k}": F.lag(whole, k).over(bucket.orderBy(*order)) for i, order in enumerate(orders) for k in range(1, NEAR + 1)}
+        fits = lambda o: (o["part"] != F.col(part)) & _may_match(n(F.col("np")), p(F.col("np")), n(o["np"]), p(o["np"]), percent)
+        return rows.withColumns(names).withColumn("near", F.array_compact(F.array(*[F.when(fits(F.col(o)) & (wide | F.lit(o.endswith("_1"))), F.col(f"{o}.cid")) for o in names]))).drop(*names)
+
+    def candidates(rows: DataFrame) -> DataFrame:
+        ends = rows.select("cid", F.explode("near").alias("cid2"))
+        return ends.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
+
+    # A bucket of up to NEAR + 1 rows is settled at once: each row meets all before it. In larger ones a chain comes first.
+    entries = source.mapInArrow(prefixes, "token long, cid long, np long")
+    by_size = neighbours(entries.withColumn("k", F.count("*").over(bucket)), [[n(F.col("np")), F.col("cid")]], "cid", F.col("k") <= NEAR + 1)
+    buckets = stored(by_size.where((F.col("k") > NEAR + 1) | (F.size("near") > 0)), "buckets")
+    sizes = known.where("slot is null").select("cid", "n", "sig").join(buckets.select("cid").union(buckets.select(F.explode("near"))).distinct(), "cid", "left_semi")
+    sizes = cut(sizes.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
+    pairs = tried = _plausible(candidates(buckets), sizes, percent)
+    links = _verified(source, pairs, shingle, percent)
+    labels = cut(connected_components(links, "a", "b"))
+    large = buckets.where(F.col("k") > NEAR + 1).select("token", "cid", "np").dropDuplicates(["token", "cid"])
+    for exact in (False, True):
+        # Entries of buckets that hold more than one component.
+        now = large.select("token", "cid", "np").join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left")
+        now = now.select("token", "cid", "np", F.coalesce("component", "cid").alias("part"))
+        now = now.withColumns({"lo": F.min("part").over(bucket), "hi": F.max("part").over(bucket)}).where("lo <> hi").drop("lo", "hi")
+        large = now = cut(now)
+        if now.isEmpty():
+            break
+        if exact:
+            right = now.select("token", F.col("cid").alias("cid2"), F.col("np").alias("np2"), F.col("part").alias("part2"))
+            fits = _may_match(n(F.col("np")), p(F.col("np")), n(F.col("np2")), p(F.col("np2")), percent)
+            near = now.join(right, "token").where((F.col("cid") < F.col("cid2")) & (F.col("part") != F.col("part2")) & fits)
+            pairs = near.select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
         else:
-            right = now.select("token", F.col("cid").alias("cid2"), F.col("np").alias("np2"), F.col("c").alias("c2"))
-            near = now.join(right, "token").where("cid < cid2")
-        near = near.where((F.col("c") != F.col("c2")) & passes)
-        pairs = near.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if step and pairs.isEmpty():
+            orders = [[F.shiftright("np", 32 + SIMILAR_SIZE), F.xxhash64("cid", F.lit(i))] for i in range(ORDERS)]
+            pairs = candidates(neighbours(now, orders, "part", F.lit(True)))
+        pairs = _plausible(pairs.join(tried, ["a", "b"], "left_anti"), sizes, percent)
+        if pairs.isEmpty():
             continue
         found = _verified(source, pairs, shingle, percent)
-        tried = pairs if tried is None else cut(tried.union(pairs))
-        links = found if links is None else links.union(found)
+        links, tried = cut(links.union(found)), cut(tried.union(pairs))
         labels = cut(connected_components(links, "a", "b"))
     classes = members.where("n > 0 and id is not null").groupBy("cid").agg(F.min("id").alias("rep"))
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
