@@ -104,7 +104,8 @@ class Network:
         d = ((p[:, 0] - labels) / len(labels))[:, None].astype(np.float32)
         d_hidden = (d @ o.T) * (pre > 0)
         d_both = d_hidden @ w.T
-        d_pool = (d_both[:, :FILTERS] / size[:, None])[doc] + d_both[doc, FILTERS:] * (pooled == high[doc])
+        top_one = (pooled == high[doc]).astype(np.float32)  # chunks that tie share the gradient
+        d_pool = (d_both[:, :FILTERS] / size[:, None])[doc] + d_both[doc, FILTERS:] * (top_one / np.add.reduceat(top_one, first)[doc])
         d_pool *= raw > 0
         return [np.einsum("cf,cfx->xf", d_pool, inputs), d_pool.sum(axis=0), both.T @ d_hidden, d_hidden.sum(axis=0), hidden.T @ d, d.sum(axis=0)]
 
@@ -127,7 +128,8 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         share = F.when(F.col("y") == y, min(1.0, want / n)).otherwise(share)
     chosen = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20))
     text = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    data = text.join(chosen, "id").select("t", "y", F.xxhash64("t").alias("h")).orderBy("h", "y").toArrow()
+    # About `rows` ids, whatever the tables hold: small enough to broadcast.
+    data = text.join(F.broadcast(chosen), "id").select("t", "y", F.xxhash64("t").alias("h")).orderBy("h", "y").toArrow()
     net = Network()
     net.fit(list(texts_of(data["t"])), data["y"].to_numpy().astype(np.float32))
     return net
