@@ -19,6 +19,8 @@ MOST_LANGUAGES, SAMPLE_ROWS = 64, 2000
 #: Trigrams that count in full; evidence of longer texts is scaled down to as many, as trigrams overlap.
 FULL_EVIDENCE = 200
 UNKNOWN = "und"
+#: Parts that the rows of one host are dealt to.
+SALTS = 32
 
 _LETTER = np.full(256, 0x20, dtype=np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -119,7 +121,11 @@ def identify(
     address = F.col(f"`{address_col}`").cast("string") if address_col else F.lit(None).cast("string")
     host = F.lower(F.regexp_extract(F.regexp_replace(address, "^[^:/?#]*://", ""), "^[^/?#:]*", 0))
     declared = F.lower(F.substring_index(F.col(f"`{markup_col}`").cast("string"), "-", 1)) if markup_col else F.lit(None).cast("string")
-    scored = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), host.alias("host"), declared.alias("declared"), likelihood(F.col(f"`{text_col}`").cast("string")).alias("ll"))
+    # Numbered, so that names cannot clash with the working columns and what a caller does not use is pruned.
+    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    text = F.col(f"`{text_col}`").cast("string")
+    salt = F.pmod(F.xxhash64(text), F.lit(SALTS))
+    scored = documents.select(*carried, host.alias("host"), salt.alias("salt"), declared.alias("declared"), likelihood(text).alias("ll"))
 
     own = scored.where("ll is not null and host is not null").select("host", (F.array_position("ll", F.array_max("ll")) - 1).cast("int").alias("k"))
     counts = own.groupBy("host", "k").agg(F.count("*").alias("n")).withColumn("suffix", F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -1)).otherwise(""))
@@ -137,11 +143,12 @@ def identify(
     overall = cut(vectors([]).select(flat.alias("all")))
     suffixes = vectors(["suffix"]).crossJoin(F.broadcast(overall)).select("suffix", smooth(F.col("v"), F.col("all")).alias("sv"))  # one row
     hosts = vectors(["host", "suffix"]).join(suffixes, "suffix").select("host", smooth(F.col("v"), F.col("sv")).alias("prior"))
-    hosts = cut(hosts)
+    # One host may hold a large part of all rows: its rows are dealt out by salt, and every salt has all priors.
+    hosts = cut(hosts).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
     agrees = F.array(*[F.when(F.col("declared").isin(languages), F.when(F.col("declared") == name, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log((1 - trust) / max(1, len(names) - 1)))))).otherwise(F.lit(0.0)) for name in names])
-    fused = scored.join(hosts, "host", "left").select(
-        "row",
+    fused = scored.join(hosts, ["host", "salt"], "left").select(
+        *[f"c{i}" for i in range(len(keep))],
         "ll",
         F.zip_with(F.zip_with("ll", agrees, lambda a, b: a + b), F.coalesce("prior", F.array_repeat(F.lit(1.0 / len(names)), len(names))), lambda a, p: a + F.log(p)).alias("post"),
     )
@@ -152,4 +159,4 @@ def identify(
             "confidence": F.coalesce(1.0 / F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best"))), F.lit(0.0)),
         }
     )
-    return named.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "language", "confidence")
+    return named.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "language", "confidence")
