@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import partitions, stored
-from .textkit import NOT_ALNUM, Words, gram, signed, slices, texts_of
+from .textkit import NOT_ALNUM, Words, freed, gram, signed, slices, texts_of
 
 #: Bits of the seed filter, whatever the number of test items; the join on seeds decides.
 FILTER_BITS = 25
@@ -134,7 +134,7 @@ def find_leaks(
                     )
 
     source = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    near = stored(source.mapInArrow(hits, f"id {name}, words binary, seeds array<long>, at array<long>").withColumn("row", F.monotonically_increasing_id()), "hits")
+    near = stored(source.mapInArrow(freed(hits), f"id {name}, words binary, seeds array<long>, at array<long>").withColumn("row", F.monotonically_increasing_id()), "hits")
     hit = near.select("row", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.at").alias("pos"))
     often = hit.groupBy("seed").agg(F.count("*").alias("n"))
     by_item = Window.partitionBy("ino")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import cut, partitions, stored
-from .textkit import Words, gram, mix, signed, slices, texts_of
+from .textkit import Words, freed, gram, mix, signed, slices, texts_of
 
 #: Counters of the frequency sketch (2**18) and bits of the candidate filter (2**22); both fixed.
 SKETCH_BITS, FILTER_BITS = 18, 22
@@ -79,7 +79,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], ["a", "b"])
 
     one, two = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
-    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(check, "a long, b long"))
+    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(freed(check), "a long, b long"))
 
 
 def _verified(source: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -123,10 +123,10 @@ def _verified(source: DataFrame, pairs: DataFrame, size: int, percent: int) -> D
                 keep[i] = np.count_nonzero(y[near] == x) >= need
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
-    held = source.mapInArrow(sets, "cid long, items binary").repartition(partitions(spark), "cid").dropDuplicates(["cid"])
+    held = source.mapInArrow(freed(sets), "cid long, items binary").repartition(partitions(spark), "cid").dropDuplicates(["cid"])
     with_a = pairs.join(held.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a")
     both = with_a.join(held.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-    return cut(both.mapInArrow(check, "a long, b long"))
+    return cut(both.mapInArrow(freed(check), "a long, b long"))
 
 
 def _may_match(n1, p1, n2, p2, percent: int):
@@ -170,7 +170,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         slot = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(slot), pa.int64()), pa.nulls(len(slot), pa.int64()), pa.array(counts[slot]), pa.nulls(len(slot), pa.binary()), pa.array(slot)], names)
 
-    known = stored(source.mapInArrow(survey, "id long, cid long, n long, sig binary, slot long"), "sets")
+    known = stored(source.mapInArrow(freed(survey), "id long, cid long, n long, sig binary, slot long"), "sets")
     members = known.where("slot is null").select("id", "cid", "n")
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     table = known.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -207,7 +207,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         return ends.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
 
     # A bucket of up to NEAR + 1 rows is settled at once: each row meets all before it. In larger ones a chain comes first.
-    entries = source.mapInArrow(prefixes, "token long, cid long, np long")
+    entries = source.mapInArrow(freed(prefixes), "token long, cid long, np long")
     by_size = neighbours(entries.withColumn("k", F.count("*").over(bucket)), [[n(F.col("np")), F.col("cid")]], "cid", F.col("k") <= NEAR + 1)
     buckets = stored(by_size.where((F.col("k") > NEAR + 1) | (F.size("near") > 0)), "buckets")
     sizes = known.where("slot is null").select("cid", "n", "sig").join(buckets.select("cid").union(buckets.select(F.explode("near"))).distinct(), "cid", "left_semi")

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .textkit import texts_of
+from .textkit import freed, texts_of
 
 #: Words whose ids one Python worker remembers; further ones are encoded again in each batch.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Remainders are cut at multiples of this many tokens, so a document gets few pieces.
 GRAIN = 16
 #: Pieces in a bucket that one worker fills by itself.
@@ -143,9 +143,9 @@ def pack(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(1))
-            for lo in range(0, len(texts), 512):
+            for lo in range(0, len(texts), 256):
                 rows: list[tuple] = []
-                for i, raw in enumerate(token_bytes(texts[lo : lo + 512], tokenizer_path), lo):
+                for i, raw in enumerate(token_bytes(texts[lo : lo + 256], tokenizer_path), lo):
                     raw += end
                     n, at = len(raw) // 4, 0
                     for size in cuts(n, capacity):
@@ -162,7 +162,7 @@ def pack(
 
     names = ["k", "start", "length", "crc", "n", *["ids"] * with_ids]
     schema = f"k {kind.simpleString()}, start long, length long, crc long, n long" + ", ids array<int>" * with_ids
-    cut = source.mapInArrow(pieces, schema)
+    cut = source.mapInArrow(freed(pieces), schema)
     # The ids of rows must be the same in every later read, so pieces are stored first.
     cut = stored(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     rows = cut.count()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import partitions
-from .textkit import Words, gram, mix, signed, slices, texts_of
+from .textkit import Words, freed, gram, mix, signed, slices, texts_of
 
 #: Words of the k-grams that choose a window's anchor.
 SEED_WORDS = 6
@@ -207,12 +207,12 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     span = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "words", "ref_id", "ref_start")]))
     # Each text is shuffled once: both joins below read this exchange.
     keyed = base.repartition(n, "dkey", "tag")
-    marks = _sources(base.drop("rest").mapInArrow(index, _ROW), True).groupBy("dkey", "tag").agg(F.collect_list("item").alias("marks"))
+    marks = _sources(base.drop("rest").mapInArrow(freed(index), _ROW), True).groupBy("dkey", "tag").agg(F.collect_list("item").alias("marks"))
     opened = marks.where(F.exists("marks", lambda x: ~x.known))
     near = keyed.join(opened, ["dkey", "tag"]).select("dkey", "tag", "t", "marks", "rest")
-    ones = _sources(near.mapInArrow(windows, _ROW), False).groupBy("dkey", "tag").agg(F.collect_list("item").alias("ones"))
+    ones = _sources(near.mapInArrow(freed(windows), _ROW), False).groupBy("dkey", "tag").agg(F.collect_list("item").alias("ones"))
     joined = keyed.join(marks, ["dkey", "tag"], "left").join(ones, ["dkey", "tag"], "left").select("dkey", "tag", "t", "marks", "ones", "rest")
     schema = f"rest {keyed.schema['rest'].dataType.simpleString()}, t string, n_words long, n_removed long, kept_text string, factors array<struct<start:long,words:long,ref_id:long,ref_start:long>>"
-    done = joined.mapInArrow(parse, schema)
+    done = joined.mapInArrow(freed(parse), schema)
     order = [F.col("t").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in documents.columns if c == text_col or c in rest]
     return done.select(*order, "n_words", "n_removed", "kept_text", "factors")
