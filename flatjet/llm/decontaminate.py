@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partitions, stored
@@ -14,8 +14,6 @@ from .textkit import NOT_ALNUM, Words, freed, gram, signed, slices, texts_of
 
 #: Bits of the seed filter, whatever the number of test items; the join on seeds decides.
 FILTER_BITS = 25
-#: Share of an item's seeds, from the rarest in the corpus up (ties included), that are looked for.
-RARE = 0.75
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -65,9 +63,9 @@ def find_leaks(
     Words are runs of letters, digits and non-ASCII characters, with A-Z
     lower-cased. Every n-gram of every document is tried against a filter of
     fixed size over the items' n-grams, and those that pass are joined to the
-    items' seeds. An item's seeds are its n-grams up to the given share by
-    corpus count. Around each seed hit the document's words are aligned to the
-    item's; edits, insertions and deletions cost score and do not end a match.
+    items' seeds, which are all their n-grams, frequent ones too. Around each
+    seed hit the document's words are aligned to the item's; edits, insertions
+    and deletions cost score and do not end a match.
 
     Returns ``id_col``, ``item_col``, score (0 to 1, alignment score over the
     item's words), first_word and last_word in the document. Documents that are
@@ -136,12 +134,8 @@ def find_leaks(
     source = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     near = stored(source.mapInArrow(freed(hits), f"id {name}, words binary, seeds array<long>, at array<long>").withColumn("row", F.monotonically_increasing_id()), "hits")
     hit = near.select("row", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.at").alias("pos"))
-    often = hit.groupBy("seed").agg(F.count("*").alias("n"))
-    by_item = Window.partitionBy("ino")
-    rare = seeds.join(often, "seed").withColumn("rank", F.rank().over(by_item.orderBy("n"))).withColumn("of", F.count("*").over(by_item))
-    rare = rare.where(F.col("rank") <= F.ceil(F.col("of") * RARE)).select("ino", "seed", "at")
     # For each pair the part of the document that its seed hits point to, hit by hit; regions that touch are merged in the alignment.
-    pairs = hit.join(rare, "seed").groupBy("row", "ino").agg(F.sort_array(F.collect_set(F.col("pos") - F.col("at"))).alias("diagonals"))
+    pairs = hit.join(seeds, "seed").groupBy("row", "ino").agg(F.sort_array(F.collect_set(F.col("pos") - F.col("at"))).alias("diagonals"))
     pairs = pairs.join(known.select("ino", "item", F.col("words").alias("y")), "ino")
     pairs = pairs.join(near.select("row", "id", F.col("words").alias("x")).repartition(partitions(spark), "row"), "row").select("id", "item", "x", "y", "diagonals")
 

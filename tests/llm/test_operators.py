@@ -260,6 +260,16 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame(spark, clean), frame(spark, [], "item_id long, text string")).collect() == []
 
 
+def test_decontamination_of_edited_beside_verbatim_copies(spark):
+    # The seeds that survive in the edited copy are then the item's most frequent ones.
+    rng = random.Random(16)
+    item = [f"w{k}" for k in range(36)]
+    edited = [f"new{k}" if k % 5 == 4 else w for k, w in enumerate(item)]
+    docs = [(1, " ".join(item)), (2, prose(rng, 30) + " " + " ".join(item)), (3, prose(rng, 30) + " " + " ".join(edited) + " " + prose(rng, 30)), (4, prose(rng, 90))]
+    got = decontaminate.find_leaks(frame(spark, docs), frame(spark, [(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, round(36 * r.score), r.first_word, r.last_word) for r in got) == [(1, 36, 0, 35), (2, 36, 30, 65), (3, 22, 30, 63)]
+
+
 def test_embedding_dedup(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows, centre = [], rng.standard_normal(32)
