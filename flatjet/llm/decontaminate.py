@@ -1,8 +1,9 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: counted word pairs as seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,35 @@ from .textkit import NOT_ALNUM, Words, freed, gram, signed, slices, texts_of
 
 #: Bits of the seed filter, whatever the number of test items; the join on seeds decides.
 FILTER_BITS = 25
+#: Bits of the index of pairs by group of items, and groups (one bit each); fixed as well. Pairs of one slot share groups, which only adds candidates.
+SLOT_BITS, GROUPS = 20, 64
+#: Items of lengths up to this factor apart share one window of the document filter.
+LENGTH_STEP = 1.1
+
+
+def least_pairs(n: int, threshold: float) -> int:
+    """Pairs of neighbouring words that an alignment of ``threshold`` holds of an item of ``n`` words.
+
+    With m matches and e edits the score is m - e; the matches form at most
+    e + 1 runs, and a run of k words holds k - 1 pairs: m - (e + 1) in all, the
+    score less one. At least one pair is asked for, which follows from the
+    score where it is two or more.
+    """
+    return max(1, ceil(threshold * n - 1e-9) - 1)
+
+
+def most_words(n: int, threshold: float) -> int:
+    """Words of the document that such an alignment spans: matches, and inserted words that leave the score."""
+    return n + max(0, int((1 - threshold) * n + 1e-9))
+
+
+def crowded(pos: np.ndarray, need: int, width: int) -> np.ndarray:
+    """For ascending positions, whether each lies in a window of ``width`` words with ``need`` of them or more."""
+    last = np.flatnonzero(pos[need - 1 :] - pos[: max(0, len(pos) - need + 1)] < width) if len(pos) >= need else np.zeros(0, dtype=np.int64)
+    step = np.zeros(len(pos) + 1, dtype=np.int64)
+    np.add.at(step, last, 1)
+    np.add.at(step, last + need, -1)
+    return np.cumsum(step)[:-1] > 0
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -55,24 +85,32 @@ def find_leaks(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    seed_words: int = 4,
     threshold: float = 0.4,
 ) -> DataFrame:
     """Pairs of documents and test items whose best local alignment scores ``threshold`` of a verbatim copy.
 
     Words are runs of letters, digits and non-ASCII characters, with A-Z
-    lower-cased. Every n-gram of every document is tried against a filter of
-    fixed size over the items' n-grams, and those that pass are joined to the
-    items' seeds, which are all their n-grams, frequent ones too. Around each
-    seed hit the document's words are aligned to the item's; edits, insertions
-    and deletions cost score and do not end a match.
+    lower-cased. Seeds are pairs of neighbouring words. An alignment that
+    reaches the threshold holds a number of the item's pairs that follows from
+    its length (``least_pairs``) within a bounded window of the document, so
+    no run of equal words is asked for beyond two. Every pair of every document
+    is tried against a filter of fixed size over the items' pairs; those that
+    pass and are dense enough for an item of some length, within one of a fixed
+    number of groups of items, are joined to all of the items' pairs, frequent
+    ones too. Where a document and an item share
+    enough of them close together, the document's words are aligned to the
+    item's; edits, insertions and deletions cost score and do not end a match.
 
     Returns ``id_col``, ``item_col``, score (0 to 1, alignment score over the
     item's words), first_word and last_word in the document. Documents that are
-    null or shorter than a seed match nothing; so do items of fewer words than a
-    seed. Repeated rows each give their own rows; null ids are kept. Other
-    columns are ignored; empty tables give no rows.
+    null or shorter than two words match nothing; so do items of fewer words,
+    and alignments of a single equal word. Repeated rows each give their own
+    rows; null ids are kept. Other columns are ignored; empty tables give no
+    rows.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is a share of the item's words")
+    seed_words = 2
     spark = documents.sparkSession
     name = documents.schema[id_col].dataType.simpleString()
     item_name = benchmark.schema[item_col].dataType.simpleString()
@@ -105,6 +143,20 @@ def find_leaks(
     table = seeds.select(bit.alias("w")).groupBy(F.shiftright("w", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(w & 63 as int))")).alias("bits")).toArrow()
     bits[table["k"].to_numpy()] = table["bits"].to_numpy()
     wanted = spark.sparkContext.broadcast(bits.view(np.uint64))
+    group = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(ino), {GROUPS}) as int))")
+    table = seeds.select(F.col("seed").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).alias("k"), group.alias("g")).groupBy("k").agg(F.bit_or("g").alias("bits")).toArrow()
+    masks = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    masks[table["k"].to_numpy()] = table["bits"].to_numpy()
+    grouped = spark.sparkContext.broadcast(masks.view(np.uint64))
+    # For each class of item lengths the fewest pairs of its shortest and the widest window of its longest.
+    lengths = [r["n"] for r in known.where("size(seeds) > 0").select((F.size("seeds") + seed_words - 1).alias("n")).distinct().orderBy("n").collect()]
+    classes: list[list[int]] = []
+    for n in lengths:
+        if classes and n <= classes[-1][0] * LENGTH_STEP:
+            classes[-1][1] = n
+        else:
+            classes.append([n, n])
+    windows = [(least_pairs(a, threshold), most_words(b, threshold)) for a, b in classes]
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has = wanted.value
@@ -118,6 +170,14 @@ def find_leaks(
                 for x in (h >> np.uint64(64 - FILTER_BITS), h & low):
                     ok &= (has[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & one != 0
                 h, doc, pos = h[ok], doc[ok], pos[ok]
+                # Each group of items for itself: positions by document and group in one row, so far apart that no window spans two.
+                at, g = np.nonzero(np.unpackbits(grouped.value[(h & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                row = ((doc[at] * GROUPS + g) << 32) + pos[at]
+                order = np.argsort(row, kind="stable")
+                row, at, dense = row[order], at[order], np.zeros(len(pos), dtype=bool)
+                for need, width in windows:
+                    dense[at[crowded(row, need, width)]] = True
+                h, doc, pos = h[dense], doc[dense], pos[dense]
                 found = np.unique(doc)
                 if len(found):
                     edge = np.searchsorted(doc, np.append(found, hi - lo))
@@ -134,20 +194,23 @@ def find_leaks(
     source = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
     near = stored(source.mapInArrow(freed(hits), f"id {name}, words binary, seeds array<long>, at array<long>").withColumn("row", F.monotonically_increasing_id()), "hits")
     hit = near.select("row", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("row", F.col("s.seeds").alias("seed"), F.col("s.at").alias("pos"))
-    # For each pair the part of the document that its seed hits point to, hit by hit; regions that touch are merged in the alignment.
-    pairs = hit.join(seeds, "seed").groupBy("row", "ino").agg(F.sort_array(F.collect_set(F.col("pos") - F.col("at"))).alias("diagonals"))
+    # Where in the document each item's pairs are, if there are enough of them at all; how close they lie is seen in the alignment.
+    pairs = hit.join(seeds.select("ino", "seed").distinct(), "seed").groupBy("row", "ino").agg(F.sort_array(F.collect_list("pos")).alias("places"))
+    need = F.greatest(F.lit(1), F.ceil((F.size("seeds") + seed_words - 1) * threshold - 1e-9) - 1)
+    pairs = pairs.join(known.select("ino", need.alias("need")), "ino").where(F.size("places") >= F.col("need")).drop("need")
     pairs = pairs.join(known.select("ino", "item", F.col("words").alias("y")), "ino")
-    pairs = pairs.join(near.select("row", "id", F.col("words").alias("x")).repartition(partitions(spark), "row"), "row").select("id", "item", "x", "y", "diagonals")
+    pairs = pairs.join(near.select("row", "id", F.col("words").alias("x")).repartition(partitions(spark), "row"), "row").select("id", "item", "x", "y", "places")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i, (x, y, diagonals) in enumerate(zip(*batch.columns[2:], strict=True)):
+            for i, (x, y, places) in enumerate(zip(*batch.columns[2:], strict=True)):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                best, slack = (0, 0, 0), len(y) // 2 + 4
+                best, width = (0, 0, 0), most_words(len(y), threshold)
+                pos = np.asarray(places.values.to_numpy(zero_copy_only=False), dtype=np.int64)
                 spans: list[list[int]] = []
-                for d in diagonals.as_py():
-                    lo, hi = max(0, d - slack), min(len(x), d + len(y) + slack)
+                for p in pos[crowded(pos, least_pairs(len(y), threshold), width)].tolist():
+                    lo, hi = max(0, p - width), min(len(x), p + width + 1)
                     if spans and lo <= spans[-1][1]:
                         spans[-1][1] = hi
                     else:

@@ -270,6 +270,27 @@ def test_decontamination_of_edited_beside_verbatim_copies(spark):
     assert sorted((r.doc_id, round(36 * r.score), r.first_word, r.last_word) for r in got) == [(1, 36, 0, 35), (2, 36, 30, 65), (3, 22, 30, 63)]
 
 
+def test_decontamination_loses_no_alignment(spark):
+    rng = random.Random(26)
+    item = [f"w{k}" for k in range(36)]
+    fourth = [f"new{k}" if k % 4 == 3 else w for k, w in enumerate(item)]
+    third = [f"new{k}" if k % 10 in (2, 5, 8) else w for k, w in enumerate(item)]
+    spread = [x for k, w in enumerate(item) for x in ([w, f"new{k}"] if k % 2 else [w])]
+    items = [(7, " ".join(item))] + [(k, prose(rng, n)) for k, n in enumerate((3, 4, 5, 9, 15, 22, 60, 80), 10)]
+    docs = [(i, prose(rng, 30) + " " + " ".join(w) + " " + prose(rng, 30)) for i, w in enumerate((fourth, third, spread))]
+    for i in range(3, 90):
+        words, rate = rng.choice(items)[1].split(), rng.uniform(0.05, 0.4)
+        edited = [x for w in words for x in ([w] if rng.random() > rate else rng.choice(([w + "x"], [], [w, "new"])))]
+        docs.append((i, prose(rng, rng.randrange(60)) + " " + " ".join(edited) + " " + prose(rng, rng.randrange(60))))
+    code = {}
+    coded = lambda t: np.array([code.setdefault(w, len(code)) for w in t.split()])
+    want = {(i, k): decontaminate.align(coded(y), coded(x))[0] for i, x in docs for k, y in items}
+    want = {p: s for p, s in want.items() if s >= 0.4 * len(dict(items)[p[1]].split()) - 1e-9}
+    got = decontaminate.find_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.score * len(dict(items)[r.item_id].split())) for r in got} == want
+    assert {(0, 7), (1, 7), (2, 7)} <= set(want)
+
+
 def test_embedding_dedup(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows, centre = [], rng.standard_normal(32)
