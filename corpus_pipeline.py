@@ -21,15 +21,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of smallest id of each group of near copies; unlinked documents stay.
 
-    Rows that repeat an id are one document and leave one row; rows without an id stay.
+    Where an id repeats, its rows are told apart by text: of its rows in one group
+    one stays, of smallest text, and those in other groups are decided there. Rows
+    without an id stay.
     """
     groups = ngram_join.jaccard_components(docs)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     if not again.isEmpty():
-        single = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(single)
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        stay = groups.join(again, "doc_id", "left_semi").where("component_id = doc_id").select("doc_id", "class_id", "group_id").distinct()
+        rows = docs.join(again, "doc_id", "left_semi").withColumn("class_id", ngram_join.class_of(F.col("text")))
+        single = rows.join(stay, ["doc_id", "class_id"]).groupBy("doc_id", "group_id").agg(F.min(F.struct("text", *rest)).alias("row"))
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(single.select("doc_id", "row.*"))
     return kept.select(*docs.columns)
 
 

@@ -135,6 +135,18 @@ def _may_match(n1, p1, n2, p2, percent: int):
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (1 + F.least(n1 - p1 - 1, n2 - p2 - 1) >= need)
 
 
+def class_of(text: Column, shingle: int = 5) -> Column:
+    """The class_id that ``jaccard_components`` gives a text."""
+
+    @F.arrow_udf("long")
+    def classes(column: pa.Array) -> pa.Array:
+        texts = texts_of(column)
+        parts = [signed(Shingles(texts[lo:hi], shingle).set_hash) for lo, hi in slices(texts)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64), pa.int64())
+
+    return classes(text)
+
+
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
     """Link documents whose distinct word shingles have a Jaccard index of percent / 100 or more.
 
@@ -150,7 +162,9 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     into all its pairs.
 
     Returns one row per document: ``id_col``, n_shingles, component_id (the
-    smallest id reachable) and class_id (hash of the set). Null or blank texts
+    smallest id reachable), class_id (hash of the set) and group_id (one for
+    each component, null for rows that link with nothing by definition; unlike
+    component_id it tells components apart where an id repeats). Null or blank texts
     have n_shingles 0 and link with nothing; a row with a null id links with
     nothing and has a null component_id; rows with one id count as one document.
     Other columns are ignored; an empty table gives no rows.
@@ -241,7 +255,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     classes = members.where("n > 0 and id is not null").groupBy("cid").agg(F.min("id").alias("rep"))
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = named.join(least, "component").select("cid", "component_id")
+    classes = named.join(least, "component").select("cid", "component_id", "component")
     out = members.join(classes, "cid", "left")
     lone = F.col("id").isNull() | (F.col("n") == 0)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(lone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("cid").alias("class_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(lone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.col("cid").alias("class_id"), F.when(~lone, F.col("component")).alias("group_id"))

@@ -37,3 +37,14 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_repeated_ids_of_different_texts(spark, tmp_path):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (prose(rng, 80) for _ in range(6))
+    near = " ".join(["edited", *c.split()[1:]])
+    rows = [(5, a), (5, b), (3, a), (6, c), (6, near), (6, c), (7, c), (8, d), (8, e), (9, None), (9, f), (None, f)]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], COLUMNS)
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    want = [(3, a), (5, b), (6, min(c, near)), (8, d), (8, e), (9, None), (9, f), (None, f)]
+    assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted((i or -1, t or "") for i, t in want)
