@@ -14,8 +14,8 @@ from .textkit import slices, texts_of
 
 #: Trigram slots of the text model.
 SLOTS = 1 << 14
-#: Most languages a model holds, and rows of each that it is fit on (about, chosen by hash of the text).
-MOST_LANGUAGES, SAMPLE_ROWS = 64, 2000
+#: Most languages a model holds unless the caller says otherwise (64 KB each), and rows of each that it is fit on (about, chosen by hash of the text).
+MOST_LANGUAGES, SAMPLE_ROWS = 256, 2000
 #: Trigrams that count in full; evidence of longer texts is scaled down to as many, as trigrams overlap.
 FULL_EVIDENCE = 200
 UNKNOWN = "und"
@@ -38,14 +38,16 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return slot.astype(np.int64), np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(use, begins)))
 
 
-def fit(documents: DataFrame, text_col: str, label_col: str) -> tuple[list[str], np.ndarray]:
+def fit(documents: DataFrame, text_col: str, label_col: str, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities of each slot; the last row is the unknown language, uniform.
 
     Trigrams are counted on the executors, from about ``SAMPLE_ROWS`` texts of
-    each of the ``MOST_LANGUAGES`` most frequent labels.
+    each label. More labels than ``most_languages`` are an error, as none is left out.
     """
     rows = documents.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.lower(F.substring_index(F.col(f"`{label_col}`").cast("string"), "-", 1)).alias("lang")).where("lang <> ''")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} declared languages; raise most_languages (a model takes 64 KB for each) or clean the labels")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return [], np.zeros((1, SLOTS)) - np.log(SLOTS)
@@ -79,6 +81,7 @@ def identify(
     label_col: str = "lang",
     trust: float = 0.9,
     strength: float = 20.0,
+    most_languages: int = MOST_LANGUAGES,
 ) -> DataFrame:
     """Most probable language of each row from its text, declared language and address.
 
@@ -89,7 +92,8 @@ def identify(
     a host are smoothed with ``strength`` rows of its address suffix, and those
     with ``strength`` rows of all addresses. An address is a URL or a bare host;
     one without a dot has no suffix. A uniform trigram model stands for all
-    other languages.
+    other languages. Every declared language has a model; more of them than
+    ``most_languages`` raise a ValueError.
 
     Returns the columns of ``documents`` plus language and confidence (its
     posterior probability), which replace columns of these names. Texts that are
@@ -99,7 +103,7 @@ def identify(
     gives no rows.
     """
     spark = documents.sparkSession
-    languages, model = fit(documents, text_col, label_col)
+    languages, model = fit(documents, text_col, label_col, most_languages)
     names = [*languages, UNKNOWN]
     held = spark.sparkContext.broadcast(np.ascontiguousarray(model.T.astype(np.float32)))
 

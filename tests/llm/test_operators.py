@@ -169,6 +169,17 @@ def test_language_id(spark):
     assert language_id.identify(frame(spark, [], COLUMNS)).collect() == []
 
 
+def test_language_id_of_many_languages(spark):
+    rng = random.Random(14)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for _ in range(70)]
+    # The last six languages are the rarest.
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(30)), f"x{k:02}", None, 0) for i, k in enumerate([*range(70)] * 2 + [*range(64)])]
+    got = {r.doc_id: r.language for r in language_id.identify(frame(spark, rows, COLUMNS)).select("doc_id", "language").collect()}
+    assert got == {i: lang for i, _, lang, _, _ in rows}
+    with pytest.raises(ValueError):
+        language_id.identify(frame(spark, rows, COLUMNS), most_languages=69)
+
+
 def brute_sets(rows):
     out = {}
     for i, t in rows:
