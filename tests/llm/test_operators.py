@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flatjet.llm import chat_format, components, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, quality_cnn, queries, substring_dedup, url_filter
 from flatjet.llm.textkit import Words, gram
@@ -388,6 +389,16 @@ def test_url_filter(spark):
     assert url_filter.judge(frame(spark, [], schema), queries.URL_RULES).collect() == []
 
 
+def test_url_filter_resolves_relative_targets(spark):
+    cases = [("new.html", "h/a/b/new.html"), ("../x?q#f", "h/a/x?q"), ("./", "h/a/b/"), ("..", "h/a/"), ("../../../z", "h/z"), ("?p=1", "h/a/b/c?p=1"), ("/r/../s", "h/s"), ("//K/t", "K/t"), ("ftp://k/u", "k/u"), ("x?u=http://k", "h/a/b/x?u=http://k"), ("mailto:x", None), ("#f", None)]
+    df = frame(spark, cases, "t string, want string").select("*", url_filter.node_of(url_filter.resolved(F.lit("http://h/a/b/c?x=/y/z"), F.col("t"))).alias("got"))
+    assert [r.got for r in df.collect()] == [w.replace("K", "k") if w else None for _, w in cases]
+    link = '<link rel="canonical" href="{}">'
+    pages = [(1, "http://q.test/d/a", link.format("b")), (2, "http://q.test/d/b", link.format("http://a.example.com/en/3")), (3, "http://w.test", None), (4, "http://v.test/x", link.format("http://w.test/")), (5, "http://w.test/", link.format("http://a.example.com/en/3")), (6, "http://u.test", '<meta http-equiv="refresh" content="0;url=n.html">'), (7, "http://u.test/n.html", link.format("http://w.test"))]
+    got = url_filter.judge(frame(spark, pages, "page_id long, url string, html string"), queries.URL_RULES).collect()
+    assert {r.page_id: r.verdict for r in got} == dict.fromkeys(range(1, 8), "block")
+
+
 def test_quality_network(spark):
     net = quality_cnn.Network()
     texts = [b"hello there big world of words " * 12, b"", b"x!" * 300, b"short"]
