@@ -42,13 +42,15 @@ def poly_hash_of(text: str, multiplier: int = 31, modulus: int = 1_000_000_009,
 def poly_hash(multiplier: int = 31, modulus: int = 1_000_000_009, lanes: int = 32):
     """Sum over places i of (i mod lanes + 1) * (code - 31) * multiplier**(i div lanes), modulo ``modulus``.
 
-    Defined for ASCII text without backslashes; escapes need the row-level engine's raw text
-    and the constant form above.
+    Defined for ASCII text. The character after a backslash counts as nothing but keeps its place,
+    as in the constant form above; values of ``Str(raw=True)`` hold escapes as they are written.
     """
     if modulus > 1 << 31:
         raise ValueError("the modulus must fit in 31 bits")
 
     def hashed(c: Column) -> Column:
+        # Pairs from left to right, so a backslash that is escaped itself escapes nothing; code 31 has no term.
+        c = F.regexp_replace(c, r"(?s)\\.", "\\\\\x1f")
         # Horner by blocks of `lanes` characters, from the last block to the first.
         blocks = F.ceil(F.length(c) / lanes).cast("int")
         number = F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0)))

@@ -35,6 +35,14 @@ def test_poly_hash(spark, lanes):
     assert poly_hash_of("Testing") == 2133
 
 
+def test_hash_of_escapes(spark):
+    rng = random.Random(2)
+    texts = ["a\\nb", "\\\\n", "\\", "x\\\\\\\"y", *["".join(rng.choice('ab\\\\"n') for _ in range(rng.randrange(100))) for _ in range(40)]]
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    assert [r[0] for r in df.select(poly_hash()(F.col("value"))).collect()] == [poly_hash_of(t) for t in texts]
+    assert [r[0] for r in df.limit(3).select(category({"a\\nb": 1, "\\\\n": 2}, by_hash=True)(F.col("value"))).collect()] == [1, 2, 0]
+
+
 def test_categories(spark):
     codes = {"Testing": 1, "TestX": 2, "12": 3}
     df = frame_of(spark, ["Testing", "12", "no", ""])
