@@ -1,13 +1,21 @@
-"""Session helpers: cutting lineage in the shared folder and choosing column names."""
+"""Session helpers: cutting lineage in the shared folder, Arrow batches and column names."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of an Arrow batch between the JVM and Python, as texts can be long.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+#: Files of frames that were cut or stored, and all such paths that still exist.
+_files: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_left: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where it is unset (tests) a local one."""
@@ -21,23 +29,55 @@ def shared_dir(spark: SparkSession) -> str:
     return str(named)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, which tasks hold on both sides."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(name)).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint a small frame in the shared folder; its files go with the frame."""
+    """Checkpoint a small frame in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    path = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if path.isDefined():
+        _noted(out, path.get())
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it again.
-
-    The files are needed for as long as results that read them, so they are
-    deleted when the driver ends.
-    """
+    """Write a frame as Parquet in the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _noted(out, path)
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of frames of ``cut`` or ``stored`` that nothing reads any more.
+
+    Files of frames that a result still reads stay until the driver ends.
+    """
+    for df in frames:
+        if path := _files.pop(df, None):
+            _delete(_left.pop(path), path)
+
+
+def _noted(df: DataFrame, path: str) -> None:
+    _files[df] = path
+    _left[path] = df.sparkSession
+
+
+@atexit.register
+def _release_all() -> None:
+    while _left:
+        path, spark = _left.popitem()
+        _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
