@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -10,16 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, partitions, stored
+from .shared import cut, partitions, release, small_batches, stored
 from .textkit import Words, freed, gram, mix, signed, slices, texts_of
 
-#: Counters of the frequency sketch (2**18) and bits of the candidate filter (2**22); both fixed.
-SKETCH_BITS, FILTER_BITS = 18, 22
-#: Counters of a set's signature, a histogram of its hashes that bounds overlaps from above.
-SIGNATURE = 128
-#: Rows before it that each row of a bucket is paired with, and in how many other orders those of larger buckets are,
-#: among sizes that differ by less than 2**SIMILAR_SIZE, before all pairs that are still apart are joined.
-NEAR, ORDERS, SIMILAR_SIZE = 3, 4, 3
+#: Counters of the frequency sketch (2**18, whatever the number of documents: it orders shingles, and frequent ones stand out of any mean).
+SKETCH_BITS = 18
+#: Most bits of the filter of wanted sets, 2**26; what passes by mistake is only joined in vain.
+MOST_FILTER_BITS = 26
+#: Rows before it that each row of a small bucket or each component's row of a large one is paired with, and draws of such rows
+#: before all pairs that are still apart are joined.
+NEAR, DRAWS = 3, 2
 
 
 class Shingles:
@@ -49,33 +50,38 @@ class Shingles:
 
 
     def signatures(self) -> pa.Array:
-        cell = self.doc * SIGNATURE + (self.hash >> np.uint64(57)).astype(np.int64)
-        held = np.minimum(np.bincount(cell, minlength=len(self.count) * SIGNATURE), 255).astype(np.uint8).reshape(-1, SIGNATURE)
-        return pa.array([row.tobytes() for row in held], pa.binary())
+        """Parity of the number of shingles for each value of a hash's low bits: 2 to 4 bits for each shingle, 64 at least."""
+        bits = np.full(len(self.count), 64, dtype=np.int64)
+        many = self.count > 32
+        bits[many] = 1 << (np.ceil(np.log2(self.count[many])).astype(np.int64) + 1)
+        edge = np.concatenate(([0], np.cumsum(bits)))
+        at = edge[:-1][self.doc] + (self.hash & (bits[self.doc] - 1).astype(np.uint64)).astype(np.int64)
+        odd = (np.bincount(at, minlength=edge[-1]) & 1).astype(np.uint8)
+        return pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer((edge >> 3).astype(np.int32).tobytes()), pa.py_buffer(np.packbits(odd, bitorder="little").tobytes())])
 
 
 def _least_overlap(n: int | np.ndarray, percent: int):
     return -(-percent * n // 100)
 
 
-def _filter_word(cid):
-    return F.shiftrightunsigned(cid, 64 - FILTER_BITS)
-
-
-def _overlap_bound(x: pa.Array, y: pa.Array) -> np.ndarray:
-    """Upper bound of the overlap of sets from their signatures; a full counter bounds nothing."""
-    a, b = (np.frombuffer(b"".join(v.to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE).astype(np.int64) for v in (x, y))
-    a[a == 255], b[b == 255] = 1 << 40, 1 << 40
-    return np.minimum(a, b).sum(axis=1)
+def _differing(x: bytes, y: bytes) -> int:
+    """Lower bound of the number of shingles that only one of two sets has, from their signatures."""
+    a, b = (np.frombuffer(v, dtype=np.uint64) for v in (x, y))
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose signatures allow enough overlap (a suffix filter); no similar pair fails."""
+    """Pairs whose signatures allow enough overlap (a suffix filter over whole sets); no similar pair fails."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            good = pa.array(_overlap_bound(batch.column(4), batch.column(5)) >= -(-percent * n // (100 + percent)))
+            apart = np.array([_differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], dtype=np.int64)
+            good = pa.array(apart <= n - 2 * -(-percent * n // (100 + percent)))
             yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], ["a", "b"])
 
     one, two = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
@@ -85,10 +91,12 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _verified(source: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set hashes whose sets are similar enough; each is tried once."""
     spark = source.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select(_filter_word("cid").alias("w"))
-    ends = ends.groupBy(F.shiftright("w", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(w & 63 as int))")).alias("bits"))
-    table = ends.toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    bits_of = min(MOST_FILTER_BITS, max(18, (2 * pairs.count()).bit_length() + 5))
+    word = F.shiftrightunsigned("cid", 64 - bits_of)
+    words = ends.select(word.alias("w")).groupBy(F.shiftright("w", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(w & 63 as int))")).alias("bits"))
+    table = words.toArrow()
+    bits = np.zeros(1 << (bits_of - 6), dtype=np.int64)
     bits[table["k"].to_numpy()] = table["bits"].to_numpy()
     wanted = spark.sparkContext.broadcast(bits.view(np.uint64))
 
@@ -98,7 +106,7 @@ def _verified(source: DataFrame, pairs: DataFrame, size: int, percent: int) -> D
             texts, seen = texts_of(batch.column(1)), set()
             for lo, hi in slices(texts):
                 s = Shingles(texts[lo:hi], size)
-                w = s.set_hash >> np.uint64(64 - FILTER_BITS)
+                w = s.set_hash >> np.uint64(64 - bits_of)
                 hit = (has[(w >> np.uint64(6)).astype(np.int64)] >> (w & np.uint64(63))) & np.uint64(1) != 0
                 cid = signed(s.set_hash)
                 take = [i for i in np.flatnonzero(hit & (s.count > 0)).tolist() if not (cid[i] in seen or seen.add(cid[i]))]
@@ -152,24 +160,31 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer words
     than a shingle is one shingle. Documents of equal sets form one class, which
-    is joined once. Each class emits the prefix of its set in rare-first order;
+    is joined once. Each class emits the prefix of its set in rare-first order
+    (once for each Arrow batch that holds it; repeats are dropped after);
     frequencies come from a sketch of fixed size over all documents, and only
     the order depends on them. Classes that share a prefix shingle and pass the
-    length, positional and suffix filters are verified once. In large buckets
-    neighbours in several orders are linked first, and in the end every pair
-    whose classes are still in different components is joined and tried. So no link between
-    different components is lost, while a group of near copies is not expanded
-    into all its pairs.
+    length, positional and suffix filters are verified once.
+
+    In small buckets all pairs are tried; in larger ones each row is paired with
+    the bucket's row of least hash, which is the same one in most buckets of a
+    group. Buckets that then hold several components pair single rows drawn of
+    each, and in the end every pair whose classes are still in different
+    components is joined and tried. So no link between different components is
+    lost, while a group of near copies is not expanded into all its pairs.
 
     Returns one row per document: ``id_col``, n_shingles, component_id (the
     smallest id reachable), class_id (hash of the set) and group_id (one for
     each component, null for rows that link with nothing by definition; unlike
     component_id it tells components apart where an id repeats). Null or blank texts
     have n_shingles 0 and link with nothing; a row with a null id links with
-    nothing and has a null component_id; rows with one id count as one document.
-    Other columns are ignored; an empty table gives no rows.
+    nothing and has a null component_id. Rows of one id with different texts are
+    documents of their own: each has the smallest id of its own group, and an id
+    on texts of two groups does not join them. Other columns are ignored; an
+    empty table gives no rows.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     source = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,49 +224,64 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     n, p = (lambda c: F.shiftright(c, 32)), (lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF)))
     bucket = Window.partitionBy("token")
 
-    def neighbours(rows: DataFrame, orders: list[list], part: str, wide: Column) -> DataFrame:
-        """Rows with the candidates before each in every order, as an array of set hashes: ``NEAR`` rows where ``wide``, else one."""
-        whole = F.struct(F.col("cid"), F.col("np"), F.col(part).alias("part"))
-        names = {f"o{i}_{k}": F.lag(whole, k).over(bucket.orderBy(*order)) for i, order in enumerate(orders) for k in range(1, NEAR + 1)}
-        fits = lambda o: (o["part"] != F.col(part)) & _may_match(n(F.col("np")), p(F.col("np")), n(o["np"]), p(o["np"]), percent)
-        return rows.withColumns(names).withColumn("near", F.array_compact(F.array(*[F.when(fits(F.col(o)) & (wide | F.lit(o.endswith("_1"))), F.col(f"{o}.cid")) for o in names]))).drop(*names)
+    whole = lambda part: F.struct(F.col("cid"), F.col("np"), F.col(part).alias("part"))
+
+    def fits(o: Column, part: str) -> Column:
+        return (o["part"] != F.col(part)) & _may_match(n(F.col("np")), p(F.col("np")), n(o["np"]), p(o["np"]), percent)
+
+    def neighbours(rows: DataFrame, order: list, part: str, use: Column, hub: bool = False) -> DataFrame:
+        """Rows with candidates as an array of set hashes: the ``NEAR`` rows before each where ``use``, else, if asked for, the first row."""
+        by = bucket.orderBy(*order)
+        names = {f"o{k}": F.lag(whole(part), k).over(by) for k in range(1, NEAR + 1)} | ({"hub": F.first(whole(part)).over(by)} if hub else {})
+        wanted = F.array(*[F.when(fits(F.col(o), part) & (~use if o == "hub" else use), F.col(f"{o}.cid")) for o in names])
+        return rows.withColumns(names).withColumn("near", F.array_compact(wanted)).drop(*names)
 
     def candidates(rows: DataFrame) -> DataFrame:
         ends = rows.select("cid", F.explode("near").alias("cid2"))
         return ends.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct()
 
-    # A bucket of up to NEAR + 1 rows is settled at once: each row meets all before it. In larger ones a chain comes first.
+    # A bucket of up to NEAR + 1 rows is settled at once: each row meets all before it. The cid is a hash, so the first one is any row.
     entries = source.mapInArrow(freed(prefixes), "token long, cid long, np long")
-    by_size = neighbours(entries.withColumn("k", F.count("*").over(bucket)), [[n(F.col("np")), F.col("cid")]], "cid", F.col("k") <= NEAR + 1)
-    buckets = stored(by_size.where((F.col("k") > NEAR + 1) | (F.size("near") > 0)), "buckets")
+    small = F.col("k") <= NEAR + 1
+    met = neighbours(entries.withColumn("k", F.count("*").over(bucket)), ["cid"], "cid", small, hub=True)
+    buckets = stored(met.where(~small | (F.size("near") > 0)), "buckets")
     sizes = known.where("slot is null").select("cid", "n", "sig").join(buckets.select("cid").union(buckets.select(F.explode("near"))).distinct(), "cid", "left_semi")
     sizes = cut(sizes.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
     pairs = tried = _plausible(candidates(buckets), sizes, percent)
     links = _verified(source, pairs, shingle, percent)
     labels = cut(connected_components(links, "a", "b"))
-    large = buckets.where(F.col("k") > NEAR + 1).select("token", "cid", "np").dropDuplicates(["token", "cid"])
-    for exact in (False, True):
+    large = cut(buckets.where(~small).select("token", "cid", "np").dropDuplicates(["token", "cid"]))
+    release(buckets)
+    for draw in range(DRAWS + 1):
         # Entries of buckets that hold more than one component.
         now = large.select("token", "cid", "np").join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left")
         now = now.select("token", "cid", "np", F.coalesce("component", "cid").alias("part"))
         now = now.withColumns({"lo": F.min("part").over(bucket), "hi": F.max("part").over(bucket)}).where("lo <> hi").drop("lo", "hi")
-        large = now = cut(now)
-        if now.isEmpty():
+        before, large = large, cut(now)
+        release(before)
+        if large.isEmpty():
             break
-        if exact:
-            right = now.select("token", F.col("cid").alias("cid2"), F.col("np").alias("np2"), F.col("part").alias("part2"))
-            fits = _may_match(n(F.col("np")), p(F.col("np")), n(F.col("np2")), p(F.col("np2")), percent)
-            near = now.join(right, "token").where((F.col("cid") < F.col("cid2")) & (F.col("part") != F.col("part2")) & fits)
-            pairs = near.select(F.col("cid").alias("a"), F.col("cid2").alias("b")).distinct()
+        if draw < DRAWS:
+            drawn = F.min(F.struct(F.xxhash64("cid", F.lit(draw)).alias("o"), "cid", "np")).alias("r")
+            rows = large.groupBy("token", "part").agg(drawn).select("token", "part", "r.cid", "r.np")
+            found = candidates(neighbours(rows, [n(F.col("np")), "cid"], "part", F.lit(True)))
         else:
-            orders = [[F.shiftright("np", 32 + SIMILAR_SIZE), F.xxhash64("cid", F.lit(i))] for i in range(ORDERS)]
-            pairs = candidates(neighbours(now, orders, "part", F.lit(True)))
-        pairs = _plausible(pairs.join(tried, ["a", "b"], "left_anti"), sizes, percent)
+            # Sizes of a pair lie in one band or in neighbouring ones; the smaller set is sent to both.
+            band = F.floor(F.log(n(F.col("np")).cast("double")) / F.lit(log(100 / percent)) + 1e-9) if percent < 100 else n(F.col("np"))
+            left = large.select("token", F.explode(F.array(band, band + 1)).alias("band"), "cid", "np", "part")
+            right = large.select("token", band.alias("band"), F.struct("cid", "np", "part").alias("o"))
+            ordered = (n(F.col("np")) < n(F.col("o.np"))) | ((n(F.col("np")) == n(F.col("o.np"))) & (F.col("cid") < F.col("o.cid")))
+            near = left.join(right, ["token", "band"]).where(ordered & fits(F.col("o"), "part"))
+            found = near.select(F.least("cid", "o.cid").alias("a"), F.greatest("cid", "o.cid").alias("b")).distinct()
+        pairs = _plausible(found.join(tried, ["a", "b"], "left_anti"), sizes, percent)
         if pairs.isEmpty():
             continue
-        found = _verified(source, pairs, shingle, percent)
-        links, tried = cut(links.union(found)), cut(tried.union(pairs))
+        new = _verified(source, pairs, shingle, percent)
+        before = links, tried, labels
+        links, tried = cut(links.union(new)), cut(tried.union(pairs))
         labels = cut(connected_components(links, "a", "b"))
+        release(*before, new, pairs)
+    release(large, links, tried, sizes)
     classes = members.where("n > 0 and id is not null").groupBy("cid").agg(F.min("id").alias("rep"))
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
