@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import partitions, small_batches
 from .textkit import Words, freed, gram, mix, signed, slices, texts_of
 
 #: Words of the k-grams that choose a window's anchor.
@@ -57,21 +57,22 @@ def _settled(a: np.ndarray, b: np.ndarray, key: np.ndarray, pos: np.ndarray) ->
     return later, ref_key, ref_pos
 
 
-_ROW = "a long, b long, dkey long, place long, ref long"
-_NAMES = ["a", "b", "dkey", "place", "ref"]
+_ROW = "a long, b long, dkey long, tag binary, place long, ref long"
+_NAMES = ["a", "b", "dkey", "tag", "place", "ref"]
 
 
-def _rows(a: np.ndarray, b: np.ndarray, key: np.ndarray, pos: np.ndarray, count: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(a: np.ndarray, b: np.ndarray, key: np.ndarray, pos: np.ndarray, count: np.ndarray, tag: pa.Array) -> Iterator[pa.RecordBatch]:
     """Rows for the reference index; those that are settled within the batch go to spread keys.
 
-    place: position << 24 | windows << 17 | settled << 16 | tag of the text.
+    place: position << 8 | windows << 1 | settled.
     """
     done, ref_key, ref_pos = _settled(a, b, key, pos)
-    place = (pos << 24) | (count << 17) | (done.astype(np.int64) << 16) | tag
+    place = (pos << 8) | (count << 1) | done.astype(np.int64)
     spread = signed(mix((key * 31 + pos).view(np.uint64)))
-    cols = [np.where(done, spread, a), np.where(done, ref_pos, b), key, place, np.where(done, ref_key, 0)]
+    cols = [pa.array(c) for c in (np.where(done, spread, a), np.where(done, ref_pos, b), key, place, np.where(done, ref_key, 0))]
+    cols.insert(3, tag)
     for lo in range(0, len(a), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 20_000]) for c in cols], _NAMES)
+        yield pa.RecordBatch.from_arrays([c.slice(lo, 20_000) for c in cols], _NAMES)
 
 
 def _ints(column: pa.Array) -> np.ndarray:
@@ -80,7 +81,7 @@ def _ints(column: pa.Array) -> np.ndarray:
 
 def _sources(rows: DataFrame, runs: bool) -> DataFrame:
     """Rows that start later than an equal one, with the earliest; for runs also those whose windows must be compared one by one."""
-    rows = rows.withColumns({"f": F.shiftright("place", 24), "done": F.col("place").bitwiseAND(F.lit(1 << 16)) != 0})
+    rows = rows.withColumns({"f": F.shiftright("place", 8), "done": F.col("place").bitwiseAND(F.lit(1)) != 0})
     first = F.min(F.struct("dkey", "f")).over(Window.partitionBy("a", "b"))
     rows = rows.withColumn("src", first)
     if runs:
@@ -90,21 +91,24 @@ def _sources(rows: DataFrame, runs: bool) -> DataFrame:
     kept = rows.where(F.col("done") | later | F.col("mixed") if runs else F.col("done") | later)
     item = F.struct(
         F.col("f").alias("start"),
-        F.shiftright("place", 17).bitwiseAND(F.lit(127)).cast("int").alias("count"),
+        F.shiftright("place", 1).bitwiseAND(F.lit(127)).cast("int").alias("count"),
         (F.col("done") | later).alias("known"),
         F.when(F.col("done"), F.col("ref")).otherwise(F.col("src.dkey")).alias("ref"),
         F.when(F.col("done"), F.col("b")).otherwise(F.col("src.f")).alias("at"),
     )
-    return kept.select("dkey", F.col("place").bitwiseAND(F.lit(0xFFFF)).alias("tag"), item.alias("item"))
+    return kept.select("dkey", "tag", item.alias("item"))
 
 
 def factors(n_windows: int, window: int, items: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Greedy parse: (start, words, reference document, start there) of each factor of a document.
 
     items: (first window, windows, reference document, position there). A factor
-    goes on while the next window has the next position of the same reference as
-    its source; the parse then restarts at that next window, so that windows
-    across the boundary are checked as well.
+    starts at the first window that has a source and goes on while the next
+    window has the next position of the same reference as its source; windows
+    point to their earliest source, so a factor also ends where the text goes on
+    in a reference that is not the earliest one any more. The parse then
+    restarts at that next window, so that windows across the boundary are
+    checked as well: the spans together are all windows with a source.
     """
     ref = np.full(n_windows, -1, dtype=np.int64)
     at = np.zeros(n_windows, dtype=np.int64)
@@ -142,33 +146,45 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     ref_start); these replace columns of the same names. Null or blank texts
     have no words and an empty kept_text. Rows with a null id come after all
     others, as one document; rows of one id are one document, so equal starts in
-    them are not earlier. An empty table gives no rows.
+    them are not earlier. Where ids are null or repeat, rows are told apart by
+    128 bits of their text, so each keeps what is its own. An empty table gives
+    no rows.
     """
     if window <= SEED_WORDS or window - SEED_WORDS >= 127:
         raise ValueError("window must be from 7 to 132 words")
-    n = partitions(documents.sparkSession)
+    spark = documents.sparkSession
+    small_batches(spark)
+    n = partitions(spark)
     text = F.col(f"`{text_col}`").cast("string")
     rest = [c for c in documents.columns if c != text_col and c not in ("n_words", "n_removed", "kept_text", "factors")]
+    key = F.col(f"`{id_col}`").cast("long")
+    # Without repeated ids a row is known by its id, and only rows without one need more.
+    repeat = not documents.select(key.alias("id")).where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+    unsure = (F.lit(repeat) | key.isNull()) & text.isNotNull()
     base = documents.select(
-        F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("dkey"),
-        F.coalesce(F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)), F.lit(0)).alias("tag"),
+        F.coalesce(key, F.lit(_LAST)).alias("dkey"),
+        F.when(unsure, F.unhex(F.md5(text.cast("binary")))).otherwise(F.lit(b"")).alias("tag"),
         text.alias("t"),
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"),
     )
 
+    def joined_parts(parts: list[tuple]) -> list:
+        *numbers, tags = zip(*parts, strict=True)
+        return [*map(np.concatenate, numbers), pa.concat_arrays(tags)]
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, tag, texts = _ints(batch.column(0)), _ints(batch.column(1)), texts_of(batch.column(2))
+            key, tag, texts = _ints(batch.column(0)), batch.column(1), texts_of(batch.column(2))
             parts = []
             for lo, hi in slices(texts):
                 doc, first, count, seed, run = _anchored(texts[lo:hi], window)
-                parts.append((seed, run, key[doc + lo], first, count, tag[doc + lo]))
+                parts.append((seed, run, key[doc + lo], first, count, tag.take(pa.array(doc + lo))))
             if parts:
-                yield from _rows(*map(np.concatenate, zip(*parts, strict=True)))
+                yield from _rows(*joined_parts(parts))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, tag, texts = _ints(batch.column(0)), _ints(batch.column(1)), texts_of(batch.column(2))
+            key, tag, texts = _ints(batch.column(0)), batch.column(1), texts_of(batch.column(2))
             opened = batch.column(3).to_pylist()
             parts = []
             for lo, hi in slices(texts):
@@ -180,9 +196,9 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
                 doc = doc[each]
                 begin = w.first[doc - lo] + pos
                 one, two = (signed(gram(w.prefix(salt), begin, begin + window)) for salt in (0, _RUN_SALT))
-                parts.append((one, two, key[doc], pos, np.ones(len(pos), dtype=np.int64), tag[doc]))
+                parts.append((one, two, key[doc], pos, np.ones(len(pos), dtype=np.int64), tag.take(pa.array(doc))))
             if parts:
-                yield from _rows(*map(np.concatenate, zip(*parts, strict=True)))
+                yield from _rows(*joined_parts(parts))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
