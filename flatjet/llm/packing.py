@@ -2,113 +2,218 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
-from .textkit import freed, texts_of
+from .shared import small_batches
+from .textkit import freed, slices, texts_of
 
-#: Words whose ids one Python worker remembers; further ones are encoded again in each batch.
-CACHE_WORDS = 200_000
-#: Remainders are cut at multiples of this many tokens, so a document gets few pieces.
-GRAIN = 16
-#: Pieces in a bucket that one worker fills by itself.
-BUCKET_ROWS = 50_000
+#: Words whose ids a task remembers, and bytes of text whose words are looked up at once.
+CACHE_WORDS, BLOCK_BYTES = 250_000, 1 << 20
+#: Ids that a task holds and packs together.
+BUCKET_IDS = 1 << 21
 
 #: A word of its own in the vocabulary, put between words that are encoded together.
 _MARK = "\x01"
-_encoders: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+_BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: Punctuation that may end a word: neither part of a contraction nor of a special token.
+_TAIL = b".,;:!?*$#%&()[]{}=+~^_/\\\"-"
+#: What the tokenizer file must say for words to be encoded one by one.
+_WORD_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+    "suffix": "</w>",
+}
 
 
-def _encoder(path: str) -> tuple[object, dict[bytes, bytes]]:
-    if path not in _encoders:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        _encoders[path] = (Tokenizer.from_file(path), {})
-    return _encoders[path]
-
-
-def _encode_words(tokenizer, words: list[bytes]) -> dict[bytes, bytes]:
-    """Ids of each word, many at a time: a mark between words shows where each ends."""
-    out: dict[bytes, bytes] = {}
-    (mark,) = tokenizer.encode(_MARK, add_special_tokens=False).ids
-    plain = [w for w in words if _MARK.encode() not in w]
-    parts = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-    for part, coded in zip(parts, tokenizer.encode_batch_fast([f" {_MARK} ".join([w.decode() for w in p]) for p in parts], add_special_tokens=False), strict=True):
-        ids = np.array(coded.ids, dtype="<u4")
-        raw, edge = ids.tobytes(), np.flatnonzero(ids == mark)
-        begins, ends = [0, *(4 * (edge + 1)).tolist()], [*(4 * edge).tolist(), len(raw)]
-        out.update(zip(part, [raw[a:b] for a, b in zip(begins, ends, strict=True)], strict=True))
-    for w in words if len(plain) < len(words) else ():
-        if w not in out:
-            out[w] = np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-    return out
-
-
-def _stem(word: bytes) -> tuple[bytes, bytes]:
-    """A word and a last full stop or comma whose ids, one after the other, are the given word's.
-
-    The vocabulary lower-cases and puts letters and punctuation in different
-    parts; the case of words with other than ASCII letters is left as it is, as
-    composed letters depend on it.
+def _byte_letters() -> dict[int, int]:
+    """What byte-level vocabularies write for each byte: itself if it is visible, else one of the letters from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 0x100 + k for k, b in enumerate(hidden) if b != 0x20}
+
+
+_LETTERS = _byte_letters()
+
+
+class Encoder:
+    """Ids of texts, exactly those of a tokenizer file.
+
+    A vocabulary that lower-cases, drops white space and never joins across it
+    or across a change between letters, digits and punctuation is served word by
+    word, so words can be remembered; words of plain letters go through the bare
+    merges of the same vocabulary, without its normaliser. Any other file
+    encodes whole texts.
     """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        model = held["model"]
+        first = ((held.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.by_word = held.get("normalizer") == _WORD_BY_WORD["normalizer"] and first.get("type") == "Split" and first.get("pattern") == {"Regex": _WORD_BY_WORD["pattern"]} and model.get("end_of_word_suffix") == _WORD_BY_WORD["suffix"]
+        self.known: dict[bytes, bytes] = {}
+        if not self.by_word:
+            return
+        self.bare = Tokenizer(self.whole.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
+        self.ends[[i for t, i in model["vocab"].items() if t.endswith(_WORD_BY_WORD["suffix"])]] = True
+
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of lower-case words of letters: each word ends with its only id of a word's end."""
+        out: dict[bytes, bytes] = {}
+        ascii_words = [w for w in words if w.isascii()]
+        parts = [some[i : i + 2048] for some in (ascii_words, [w for w in words if not w.isascii()]) for i in range(0, len(some), 2048)]
+        plain = [b" ".join(p).decode("latin-1") for p in parts]
+        plain = [t if t.isascii() else t.translate(_LETTERS) for t in plain]
+        for part, coded in zip(parts, self.bare.encode_batch_fast(plain, add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, dtype="<u4")
+            raw, edge = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            out.update(zip(part, [raw[a:b] for a, b in zip([0, *edge[:-1]], edge, strict=True)], strict=True))
+        return out
+
+    def _marked(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of any words, many at a time: a mark between words shows where each ends."""
+        out: dict[bytes, bytes] = {}
+        (mark,) = self.whole.encode(_MARK, add_special_tokens=False).ids
+        plain = [w for w in words if _MARK.encode() not in w]
+        parts = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for part, coded in zip(parts, self.whole.encode_batch_fast([f" {_MARK} ".join([w.decode() for w in p]) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, dtype="<u4")
+            raw, edge = ids.tobytes(), np.flatnonzero(ids == mark)
+            begins, ends = [0, *(4 * (edge + 1)).tolist()], [*(4 * edge).tolist(), len(raw)]
+            out.update(zip(part, [raw[a:b] for a, b in zip(begins, ends, strict=True)], strict=True))
+        for w in words if len(plain) < len(words) else ():
+            if w not in out:
+                out[w] = np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text as little-endian 32-bit values."""
+        if not self.by_word:
+            for t in texts:
+                yield np.array(self.whole.encode(t.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return
+        for lo, hi in _runs([len(t) for t in texts], BLOCK_BYTES):
+            if hi - lo == 1:
+                yield b"".join([x for part in _segments(texts[lo]) for x in self._words([part])])
+            else:
+                yield from self._words(texts[lo:hi])
+
+    def _words(self, texts: list[bytes]) -> Iterator[bytes]:
+        known = self.known
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        fresh = set().union(*words).difference(known)
+        letters = {w for w in fresh if w.isalpha() and w.islower()}
+        split = {w: _parts(w) for w in fresh - letters}
+        stems = {s for s, _, plain in split.values() if plain}
+        others = {s for s, _, plain in split.values() if not plain} | {t for _, t, _ in split.values()}
+        new = self._letters(list(letters | stems.difference(known)))
+        new |= self._marked(list(others.difference(known, new)))
+        known |= new
+        composed = {w: known[s] + known[t] if t else known[s] for w, (s, t, _) in split.items()}
+        known |= composed
+        for ws in words:
+            yield b"".join(map(known.__getitem__, ws))
+        # Beyond the limit words are looked up anew in each block.
+        for w in list(islice(reversed(known), max(0, len(known) - CACHE_WORDS))):
+            del known[w]
+
+
+def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges that together hold ``most`` or are of one text."""
+    begin = held = 0
+    for i, size in enumerate(sizes):
+        if i > begin and held + size > most:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def _segments(text: bytes) -> Iterator[bytes]:
+    """A long text in parts that end at white space."""
+    at = 0
+    while len(text) - at > BLOCK_BYTES and (blank := _BLANK.search(text, at + BLOCK_BYTES)):
+        yield text[at : blank.start()]
+        at = blank.start()
+    yield text[at:]
+
+
+def _parts(word: bytes) -> tuple[bytes, bytes, bool]:
+    """A word's stem and the punctuation after it, whose ids one after the other are the word's; whether the stem is of lower-case letters."""
+    stem = word.rstrip(_TAIL)
     if word.isascii():
         if b"<|" in word:
-            return word, b""
-        word = word.lower()
-        if word[-1:] in (b".", b",") and word[:-1].isalnum():
-            return word[:-1], word[-1:]
-    elif word[-1:] in (b".", b","):
-        stem = word[:-1].decode()
-        if stem.isalpha() and max(stem) < "\u0250":
-            return word[:-1], word[-1:]
-    return word, b""
-
-
-def token_bytes(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Ids of each text as little-endian 32-bit values.
-
-    The vocabulary drops white space and never joins across it, so a text's ids
-    are those of its space-separated words in order, and words can be remembered.
-    """
-    tokenizer, known = _encoder(path)
-    words = [t.split() for t in texts]
-    found = [list(map(known.get, ws)) for ws in words]
-    fresh = {w for ws, ids in zip(words, found, strict=True) for w, x in zip(ws, ids, strict=True) if x is None}
-    split = {w: _stem(w) for w in fresh}
-    stems = {x for both in split.values() for x in both}
-    more = _encode_words(tokenizer, [x for x in stems if x not in known])
-    held = lambda x: more[x] if x in more else known[x]
-    more |= {w: held(stem) + held(mark) if mark else held(stem) for w, (stem, mark) in split.items()}
-    known.update(islice(more.items(), max(0, CACHE_WORDS - len(known))))
-    for ws, ids in zip(words, found, strict=True):
-        yield b"".join([more[w] if x is None else x for w, x in zip(ws, ids, strict=True)])
-
-
-def cuts(n: int, capacity: int, grain: int = GRAIN) -> list[int]:
-    """Piece lengths of a document of ``n`` ids, in order.
-
-    Whole sequences first; then the remainder as falling powers of two of at
-    least ``grain``, which are exactly the class bounds capacity / 2**j; then a
-    tail below ``grain``.
+            return word, b"", False
+        return (stem.lower(), word[len(stem) :], stem.isalpha()) if stem.isalnum() else (word.lower(), b"", False)
+    text = stem.decode()
+    # Latin letters whose lower case is one letter; others depend on what stands beside them.
+    if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+        return unicodedata.normalize("NFC", text).lower().encode(), word[len(stem) :], True
+    return word, b"", False
+
+
+def plan(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start, length, sequence and offset of each piece of documents of ``sizes`` ids.
+
+    Whole sequences first. A remainder of r ids is of class capacity // r = k,
+    and a bin of class k takes exactly k remainders, uncut (a class's last bin
+    may hold fewer). As many bins as the remainders fill are kept, the fullest
+    ones; what the others hold is laid into the gaps, in order, and cut where a
+    gap ends. What is left then goes to sequences of powers of two. So nothing
+    is padded.
     """
-    out = [capacity] * (n // capacity)
-    rest = n % capacity
-    size = capacity // 2
-    while size >= grain:
-        if rest >= size:
-            out.append(size)
-            rest -= size
-        size //= 2
-    return [*out, rest] if rest else out
+    full, rest = np.divmod(sizes.astype(np.int64), capacity)
+    doc = np.repeat(np.arange(len(sizes)), full)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(full) - full, full)) * capacity
+    out = [(doc, start, np.full(len(doc), capacity), np.arange(len(doc)), np.zeros(len(doc), dtype=np.int64))]
+    d = np.flatnonzero(rest)
+    if len(d):
+        d = d[np.argsort(capacity // rest[d], kind="stable")]
+        r, k = rest[d], capacity // rest[d]
+        begin = sizes[d] - r
+        head = (np.arange(len(d)) - np.searchsorted(k, k)) % k == 0
+        which = np.cumsum(head) - 1
+        before = np.cumsum(r) - r
+        inside = before - before[head][which]
+        fill = np.add.reduceat(r, np.flatnonzero(head))
+        whole, tail = divmod(int(r.sum()), capacity)
+        kept = np.zeros(len(fill), dtype=bool)
+        kept[np.argsort(-fill, kind="stable")[:whole]] = True
+        stays = kept[which]
+        out.append((d[stays], begin[stays], r[stays], len(doc) + (np.cumsum(kept) - 1)[which[stays]], inside[stays]))
+        # The ids of the other bins in one row, beside the gaps in one row; pieces end where either does.
+        d, r, begin = d[~stays], r[~stays], begin[~stays]
+        powers = [1 << j for j in reversed(range(tail.bit_length())) if tail >> j & 1]
+        room = np.concatenate((capacity - fill[kept], np.array(powers, dtype=np.int64)))
+        used = np.concatenate((fill[kept], np.zeros(len(powers), dtype=np.int64)))
+        ends, gaps = np.cumsum(r), np.cumsum(room)
+        edge = np.union1d(ends, gaps)
+        edge = edge[edge > 0]
+        at = np.concatenate((np.zeros(1, dtype=np.int64), edge[:-1]))[: len(edge)]
+        i, g = np.searchsorted(ends, at, side="right"), np.searchsorted(gaps, at, side="right")
+        out.append((d[i], begin[i] + at - (ends[i] - r[i]), edge - at, len(doc) + g, used[g] + at - (gaps[g] - room[g])))
+    pieces = [np.concatenate(c) for c in zip(*out, strict=True)]
+    order = np.lexsort((pieces[1], pieces[0]))
+    return tuple(c[order] for c in pieces)
 
 
 def pack(
@@ -122,86 +227,57 @@ def pack(
 ) -> DataFrame:
     """Cut and pack documents; one row for each piece.
 
-    Lengths fall into the reciprocal-capacity classes (capacity/(k+1),
-    capacity/k], and a bin of class k takes exactly k pieces. Remainders are cut
-    at class bounds, so such bins have no padding; tails shorter than ``GRAIN``
-    fill bins of equal tails. Each bucket of documents fills its bins alone;
-    what does not fill a bin there is pooled by class, and a class's last bin is
-    closed at powers of two where its pieces allow that.
+    Every task packs its own documents, some ``BUCKET_IDS`` ids at a time, as
+    ``plan`` says: remainders of a reciprocal-capacity class share bins of a
+    fixed count, uncut, and gaps are filled with pieces of the emptiest bins'
+    documents. Nothing is shuffled or stored. Sequence ids hold the task's
+    number, so a task that runs again replaces its own sequences as a whole.
+    Rows that come out of a shuffle should be stored before, as their order, and
+    so the packing, may differ in a second run.
 
     Returns ``id_col``, start, length, doc_tokens, sequence_id, offset,
     ids_crc32 and, if ``with_ids``, the ids as an array. A null text is an empty
     document and holds only ``end_id``. Null or repeated document ids are
     packed like others. Other columns are ignored; an empty table gives no rows.
+    Ids are those of the tokenizer file without special tokens of its own.
     """
-    if capacity & (capacity - 1) or capacity < GRAIN:
-        raise ValueError(f"capacity must be a power of two of at least {GRAIN}")
+    if capacity < 1:
+        raise ValueError("a sequence holds one id at least")
+    small_batches(documents.sparkSession)
     kind = documents.schema[id_col].dataType
     source = documents.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"))
     end = np.array([end_id], dtype="<u4").tobytes()
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
+
+    def packed(keys: list[pa.Array], ids: list[bytes], base: int) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        doc, start, length, sequence, offset = plan(sizes, capacity)
+        key = pa.concat_arrays(keys)
+        crc = [zlib.crc32(memoryview(ids[d])[4 * a : 4 * (a + n)]) for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+        for lo in range(0, len(doc), 1024):
+            part = slice(lo, lo + 1024)
+            out = [key.take(pa.array(doc[part])), *[pa.array(c, pa.int64()) for c in (start[part], length[part], crc[part], sizes[doc[part]], base + sequence[part], offset[part])]]
+            if with_ids:
+                raw = b"".join([ids[d][4 * a : 4 * (a + n)] for d, a, n in zip(doc[part].tolist(), start[part].tolist(), length[part].tolist(), strict=True)])
+                edge = np.concatenate(([0], np.cumsum(length[part]))).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(edge, pa.array(np.frombuffer(raw, dtype="<u4").astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(out, names)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer_path)
+        base, keys, ids, held = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             texts = texts_of(batch.column(1))
-            for lo in range(0, len(texts), 256):
-                rows: list[tuple] = []
-                for i, raw in enumerate(token_bytes(texts[lo : lo + 256], tokenizer_path), lo):
-                    raw += end
-                    n, at = len(raw) // 4, 0
-                    for size in cuts(n, capacity):
-                        piece = raw[4 * at : 4 * (at + size)]
-                        rows.append((i, at, size, zlib.crc32(piece), n, piece if with_ids else None))
-                        at += size
-                cols = list(zip(*rows, strict=True))
-                out = [batch.column(0).take(pa.array(cols[0])), *[pa.array(c, pa.int64()) for c in cols[1:5]]]
-                if with_ids:
-                    flat = pa.array(np.frombuffer(b"".join(cols[5]), dtype="<u4").astype(np.int32))
-                    edge = np.concatenate(([0], np.cumsum(cols[2]))).astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(edge, flat))
-                yield pa.RecordBatch.from_arrays(out, names)
-
-    names = ["k", "start", "length", "crc", "n", *["ids"] * with_ids]
-    schema = f"k {kind.simpleString()}, start long, length long, crc long, n long" + ", ids array<int>" * with_ids
-    cut = source.mapInArrow(freed(pieces), schema)
-    # The ids of rows must be the same in every later read, so pieces are stored first.
-    cut = stored(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    rows = cut.count()
-    # Rows of one task lie together in `row`, so a bucket is filled by one worker from its own documents.
-    buckets = max(1, rows // BUCKET_ROWS)
-    bucket = F.pmod(F.xxhash64(F.shiftright("row", 17)), F.lit(buckets))
-    per = F.floor(F.lit(capacity) / F.col("length"))
-    whole = cut.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("row"), "offset": F.lit(0).cast("long")})
-    own = Window.partitionBy("bucket", "length")
-    part = (
-        cut.where(F.col("length") < capacity)
-        .withColumns({"bucket": bucket, "per": per})
-        .withColumn("nth", F.row_number().over(own.orderBy("row")) - 1)
-        .withColumn("size", F.count("*").over(own))
-    )
-    full = F.col("nth") < F.floor(F.col("size") / F.col("per")) * F.col("per")
-    part = part.withColumn("left", ~full).withColumn("pool", F.when(full, F.col("bucket")).otherwise(F.lit(-1)))
-    # Leftovers: below `per` rows for each bucket and class.
-    rest = Window.partitionBy("length")
-    left = part.where("left").withColumn("nth", F.row_number().over(rest.orderBy("row")) - 1).withColumn("size", F.count("*").over(rest))
-    binned = part.where("not left").unionByName(left)
-    in_bin = F.col("nth") % F.col("per")
-    # The last bin of a class of powers of two is split at powers of two: each is a sequence without padding.
-    tail = F.col("size") % F.col("per")
-    last = F.col("left") & (F.col("nth") >= F.col("size") - tail) & (F.col("length").bitwiseAND(F.col("length") - 1) == 0)
-    bits = [1 << j for j in reversed(range(capacity.bit_length() - 1))]
-    base, done = F.lit(0).cast("long"), None
-    for bit in bits:
-        has = F.col("tail").bitwiseAND(F.lit(bit)) != 0
-        inside = has & (F.col("at") >= base) & (F.col("at") < base + bit)
-        done = F.when(inside, base) if done is None else done.when(inside, base)
-        base = base + F.when(has, F.lit(bit)).otherwise(F.lit(0))
-    binned = binned.withColumns({"tail": tail, "at": in_bin, "last": last}).withColumn("begin", F.when(F.col("last"), done).otherwise(F.lit(0)).cast("long"))
-    packed = binned.withColumns(
-        {
-            # One id for each (class, bucket, bin, part of a last bin); whole sequences use ids from 0 up.
-            "sequence_id": -1 - ((((F.col("pool") + 1) * (capacity + 1) + F.col("length")) * (1 << 24) + F.floor(F.col("nth") / F.col("per"))) * 64 + F.when(F.col("begin") > 0, 1 + F.floor(F.log2(F.col("tail") - F.col("begin") + 0.5))).otherwise(F.lit(0))),
-            "offset": (F.col("at") - F.col("begin")) * F.col("length"),
-        }
-    )
-    keep = [F.col("k").alias(id_col), "start", "length", F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens"), F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"), *["ids"] * with_ids]
-    return whole.select(*keep).unionByName(packed.select(*keep))
+            for lo, hi in slices(texts, BLOCK_BYTES):
+                keys.append(batch.column(0).take(pa.array(np.arange(lo, hi))))
+                for raw in encoder.encode(texts[lo:hi]):
+                    ids.append(raw + end)
+                    held += len(raw) // 4 + 1
+                if held >= BUCKET_IDS:
+                    yield from packed(keys, ids, base)
+                    base, keys, ids, held = base + held // capacity + 64, [], [], 0
+        if ids:
+            yield from packed(keys, ids, base)
+
+    schema = f"`{id_col}` {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    return source.mapInArrow(freed(pieces), schema)
