@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
-from .textkit import slices, texts_of
+from .shared import cut, small_batches
+from .textkit import freed, slices, texts_of
 
 #: Trigram slots of the text model.
 SLOTS = 1 << 14
@@ -38,21 +38,34 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return slot.astype(np.int64), np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(use, begins)))
 
 
-def fit(documents: DataFrame, text_col: str, label_col: str, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities of each slot; the last row is the unknown language, uniform.
+def _language(c: Column) -> Column:
+    """A declared language without its region, lower-cased."""
+    return F.lower(F.substring_index(c.cast("string"), "-", 1))
+
+
+def _drawn(text: Column, language: Column, shares: dict[str, float]) -> Column:
+    """Whether a row is one that its language's model is fit on."""
+    if not shares:
+        return F.lit(False)
+    share = F.create_map(*[x for name, part in shares.items() for x in (F.lit(name), F.lit(part))])
+    return F.coalesce(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < share[language] * (1 << 20), F.lit(False))
+
+
+def fit(documents: DataFrame, text_col: str, label_col: str, most_languages: int = MOST_LANGUAGES) -> tuple[dict[str, float], np.ndarray]:
+    """Languages, each with the share of its rows that is fit on, and their log-probabilities of each slot; the last row is the unknown language, uniform.
 
     Trigrams are counted on the executors, from about ``SAMPLE_ROWS`` texts of
     each label. More labels than ``most_languages`` are an error, as none is left out.
     """
-    rows = documents.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.lower(F.substring_index(F.col(f"`{label_col}`").cast("string"), "-", 1)).alias("lang")).where("lang <> ''")
+    rows = documents.select(F.col(f"`{text_col}`").cast("string").alias("t"), _language(F.col(f"`{label_col}`")).alias("lang")).where("lang <> ''")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect()
     if len(sizes) > most_languages:
         raise ValueError(f"more than {most_languages} declared languages; raise most_languages (a model takes 64 KB for each) or clean the labels")
-    languages = sorted(r["lang"] for r in sizes)
+    shares = {r["lang"]: min(1.0, SAMPLE_ROWS / r["count"]) for r in sorted(sizes, key=lambda r: r["lang"])}
+    languages = list(shares)
     if not languages:
-        return [], np.zeros((1, SLOTS)) - np.log(SLOTS)
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_ROWS / r["count"])))])
-    chosen = rows.where(F.col("lang").isin(languages) & (F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)))
+        return {}, np.zeros((1, SLOTS)) - np.log(SLOTS)
+    chosen = rows.where(_drawn(F.col("t"), F.col("lang"), shares))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), SLOTS), dtype=np.int64)
@@ -65,12 +78,12 @@ def fit(documents: DataFrame, text_col: str, label_col: str, most_languages: int
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], ["at", "n"])
 
-    table = chosen.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    table = chosen.mapInArrow(freed(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(languages) * SLOTS)
     counts[table["at"].to_numpy()] = table["n"].to_numpy()
     counts = counts.reshape(len(languages), SLOTS) + 0.05
     model = np.log(counts / counts.sum(axis=1, keepdims=True))
-    return languages, np.vstack([model, np.full(SLOTS, -np.log(SLOTS))])
+    return shares, np.vstack([model, np.full(SLOTS, -np.log(SLOTS))])
 
 
 def identify(
@@ -79,7 +92,7 @@ def identify(
     markup_col: str | None = "lang",
     address_col: str | None = "source",
     label_col: str = "lang",
-    trust: float = 0.9,
+    trust: float | None = None,
     strength: float = 20.0,
     most_languages: int = MOST_LANGUAGES,
 ) -> DataFrame:
@@ -88,7 +101,10 @@ def identify(
     The log-likelihoods of the text's trigrams (scaled to ``FULL_EVIDENCE``
     trigrams) are added to log P(declared | language), which is ``trust`` for the
     language itself and the rest spread over the others, and to the log prior of
-    the row's host. Priors are counts of the text's own best language: those of
+    the row's host. Unless it is given, ``trust`` is measured: the share of rows
+    outside of the fit whose text's own best language is the declared one
+    (smoothed by ten rows at 0.9, 0.99 at most), so a label never vouches for
+    itself. Priors are counts of the text's own best language: those of
     a host are smoothed with ``strength`` rows of its address suffix, and those
     with ``strength`` rows of all addresses. An address is a URL or a bare host;
     one without a dot has no suffix. A uniform trigram model stands for all
@@ -103,7 +119,9 @@ def identify(
     gives no rows.
     """
     spark = documents.sparkSession
-    languages, model = fit(documents, text_col, label_col, most_languages)
+    small_batches(spark)
+    shares, model = fit(documents, text_col, label_col, most_languages)
+    languages = list(shares)
     names = [*languages, UNKNOWN]
     held = spark.sparkContext.broadcast(np.ascontiguousarray(model.T.astype(np.float32)))
 
@@ -121,18 +139,28 @@ def identify(
             out += [None if not n else (row * min(1.0, FULL_EVIDENCE / n)).tolist() for n, row in zip(size.tolist(), total, strict=True)]
         return pa.array(out, pa.list_(pa.float64()))
 
+    # Said to be non-deterministic only so that filters on its result do not run it a second time.
+    likelihood = likelihood.asNondeterministic()
+
     keep = [c for c in documents.columns if c not in ("language", "confidence")]
     address = F.col(f"`{address_col}`").cast("string") if address_col else F.lit(None).cast("string")
     host = F.lower(F.regexp_extract(F.regexp_replace(address, "^[^:/?#]*://", ""), "^[^/?#:]*", 0))
-    declared = F.lower(F.substring_index(F.col(f"`{markup_col}`").cast("string"), "-", 1)) if markup_col else F.lit(None).cast("string")
+    declared = _language(F.col(f"`{markup_col}`")) if markup_col else F.lit(None).cast("string")
     # Numbered, so that names cannot clash with the working columns and what a caller does not use is pruned.
     carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
     text = F.col(f"`{text_col}`").cast("string")
     salt = F.pmod(F.xxhash64(text), F.lit(SALTS))
-    scored = documents.select(*carried, host.alias("host"), salt.alias("salt"), declared.alias("declared"), likelihood(text).alias("ll"))
-
-    own = scored.where("ll is not null and host is not null").select("host", (F.array_position("ll", F.array_max("ll")) - 1).cast("int").alias("k"))
-    counts = own.groupBy("host", "k").agg(F.count("*").alias("n")).withColumn("suffix", F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -1)).otherwise(""))
+    scored = documents.select(*carried, host.alias("host"), salt.alias("salt"), declared.alias("declared"), _drawn(text, _language(F.col(f"`{label_col}`")), shares).alias("drawn"), likelihood(text).alias("ll"))
+
+    # One pass over the texts gives all counts; they are cut, so that what follows does not run it again.
+    own = scored.select("host", "declared", "drawn", (F.array_position("ll", F.array_max("ll")) - 1).cast("int").alias("k"))
+    counts = cut(own.groupBy("host", "declared", "drawn", "k").agg(F.count("*").alias("n"))).where("k is not null")
+    if trust is None:
+        told = counts.where(~F.col("drawn") & F.col("declared").isin(languages) & (F.col("k") < len(languages)))
+        same = F.sum(F.when(F.col("declared") == F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1), F.col("n")))
+        all_rows, agree = told.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(same, F.lit(0))).first()
+        trust = min(0.99, (agree + 9) / (all_rows + 10))
+    counts = counts.where("host is not null").withColumn("suffix", F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -1)).otherwise(""))
     top = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.element_at("by", i), F.lit(0)).cast("double"))
 
     def vectors(by: list[str]) -> DataFrame:
