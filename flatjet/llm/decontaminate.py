@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, stored
+from .shared import partitions, small_batches, stored
 from .textkit import NOT_ALNUM, Words, freed, gram, signed, slices, texts_of
 
 #: Bits of the seed filter, whatever the number of test items; the join on seeds decides.
@@ -112,6 +112,7 @@ def find_leaks(
         raise ValueError("the threshold is a share of the item's words")
     seed_words = 2
     spark = documents.sparkSession
+    small_batches(spark)
     name = documents.schema[id_col].dataType.simpleString()
     item_name = benchmark.schema[item_col].dataType.simpleString()
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("t"))
@@ -225,5 +226,5 @@ def find_leaks(
             take = pa.array(which, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(scores, pa.float64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["id", "item", "score", "first_word", "last_word"])
 
-    found = pairs.mapInArrow(score, f"id {name}, item {item_name}, score double, first_word long, last_word long")
+    found = pairs.mapInArrow(freed(score), f"id {name}, item {item_name}, score double, first_word long, last_word long")
     return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "first_word", "last_word")
