@@ -91,6 +91,17 @@ def test_substring_dedup_edges(spark):
     assert empty.collect() == [] and empty.columns == ["doc_id", "text", "n_words", "n_removed", "kept_text", "factors"]
 
 
+def test_substring_dedup_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(11)
+    first = prose(rng, 25)
+    # Copies of an earlier text among many unlike texts without an id, and under one id.
+    rows = [(1, first)] + [(None, prose(rng, 25)) for _ in range(1000)] + [(None, first), (7, prose(rng, 30)), (7, first), (7, first + " tail")]
+    got = substring_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id or -1, r.text) for r in got if r.n_removed) == sorted([(-1, first), (7, first), (7, first + " tail")])
+    assert all(r.kept_text == r.text for r in got if not r.n_removed)
+
+
 def check_packing(rows, got, path, capacity):
     from tokenizers import Tokenizer
 
@@ -127,7 +138,58 @@ def test_packing_edges(spark):
     assert packing.pack(frame(spark, []), queries.tokenizer_path()).collect() == []
     got = packing.pack(frame(spark, [(None, None, "a"), (1, "x", "b"), (1, "x", "b")], "doc_id long, text string, ids string"), queries.tokenizer_path()).collect()
     assert sorted((r.doc_id or 0, r.doc_tokens) for r in got) == [(0, 1), (1, 2), (1, 2)]
-    assert packing.cuts(5000, 2048) == [2048, 2048, 512, 256, 128, 8] and sum(packing.cuts(2047, 2048)) == 2047
+
+
+@pytest.mark.parametrize("capacity", [1, 7, 64, 2048])
+def test_packing_plan(capacity):
+    rng = np.random.default_rng(capacity)
+    for sizes in ([], [1], [capacity], [capacity + 1] * 3, rng.integers(1, 5 * capacity + 2, 300), np.full(50, capacity // 3 + 1), [1] * 100):
+        sizes = np.array(sizes, dtype=np.int64)
+        doc, start, length, sequence, offset = packing.plan(sizes, capacity)
+        assert (length > 0).all()
+        for d, n in enumerate(sizes.tolist()):
+            parts = sorted(zip(start[doc == d].tolist(), length[doc == d].tolist(), strict=True))
+            assert [a for a, _ in parts] == np.cumsum([0, *[x for _, x in parts]])[:-1].tolist() and sum(x for _, x in parts) == n
+        used = []
+        for q in range(int(sequence.max(initial=-1)) + 1):
+            parts = sorted(zip(offset[sequence == q].tolist(), length[sequence == q].tolist(), strict=True))
+            assert [a for a, _ in parts] == np.cumsum([0, *[x for _, x in parts]])[:-1].tolist()
+            used.append(sum(x for _, x in parts))
+        # Nothing is padded: sequences are full or, for what is left, of different powers of two.
+        rest = [n for n in used if n < capacity]
+        assert max(used, default=0) <= capacity and len(set(rest)) == len(rest) and all(n & (n - 1) == 0 for n in rest)
+    # Remainders of one class share bins of a fixed count, uncut.
+    doc, start, length, sequence, offset = packing.plan(np.full(9, capacity // 3 or 1), capacity)
+    if capacity == 64:
+        assert len(doc) < 9 * 2 and sorted(np.bincount(sequence[length == 21]).tolist()) [-1] == 3
+
+
+def test_packing_ids_are_the_tokenizer_s(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    letters = "abcXYZéÉüßİıŉſµªºΣσςДŁłǅ\u0307\u0301'.,;:!?*$#-_\"()[]{}<|>0123456789½²中 \u0085\u00a0\x01\x1c\u3000"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    texts += [f"x{chr(c)}, {chr(c)}.{chr(c)}!!" for c in range(0x80, 0x3000)] + ["İ, xİ. <|endoftext|>, IT'S don't 'LL", "<|ENDOFTEXT|>"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = queries.tokenizer_path(name)
+        encoder, plain = packing.Encoder(path), Tokenizer.from_file(path)
+        assert encoder.by_word == name.startswith("word")
+        for lo in range(0, len(texts), 500):
+            for text, raw in zip(texts[lo : lo + 500], encoder.encode([t.encode() for t in texts[lo : lo + 500]]), strict=True):
+                assert np.frombuffer(raw, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, (name, text)
+
+
+def test_packing_of_very_long_texts(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(1, prose(rng, 20_000)), (2, "x" * 50_000 + " " + prose(rng, 10)), (3, prose(rng, 300))]
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 1000)
+    encoder = packing.Encoder(queries.tokenizer_path())
+    texts = [t.encode() for _, t in rows]
+    assert b"".join(packing._segments(texts[0])) == texts[0]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(texts)] == [encoder.whole.encode(t, add_special_tokens=False).ids for _, t in rows]
+    got = packing.pack(frame(spark, rows), queries.tokenizer_path(), with_ids=True).collect()
+    check_packing(rows, got, queries.tokenizer_path(), 2048)
 
 
 def brute_license(text, base):
@@ -157,6 +219,43 @@ def test_license_scan(spark):
     assert len(license_scan.scan(frame(spark, [(None, None), (1, "cc by"), (1, "cc by")])).collect()) == 3
 
 
+def test_license_spans_are_verified(spark):
+    def labels(*texts):
+        got = license_scan.scan(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+        return [(r.labels, round(r.score, 3)) for r in got]
+
+    words = "released under the mit license".split()
+    notice = next(t for t, label in license_scan.TEMPLATES if label == "zlib")
+    edited = notice.split()
+    edited[5:7] = ["quite", "other", "words"]
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    got = labels(" x ".join(reversed(pairs)), " one two ".join(pairs), " ".join(words), "so " + " ".join(edited), " ".join(edited[:30]), "mit " * 3000)
+    # The same pairs in another order or far apart are no license.
+    assert got[0] == ("", 0) and got[1] == ("", 0) and got[2] == ("mit", 1)
+    assert got[3][0] == "zlib" and got[3][1] > 0.85 and got[4] == ("", 0) and got[5] == ("", 0)
+
+
+def test_license_chains_against_every_chain(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(60):
+        n, width = rng.randrange(2, 7), rng.randrange(3, 12)
+        votes = sorted({(rng.randrange(20), rng.randrange(n)) for _ in range(rng.randrange(1, 12))})
+
+        def longest(chain, left, width=width):
+            best = len(chain)
+            for k, (pos, t) in enumerate(left):
+                if not chain or (pos > chain[-1][0] or pos == chain[-1][0]) and t > chain[-1][1] and pos - chain[0][0] < width:
+                    best = max(best, longest([*chain, (pos, t)], left[k + 1 :]))
+            return best
+
+        rows.append((i, votes, n, width, longest([], votes)))
+    df = frame(spark, rows, "i int, votes array<struct<pos:int,tpos:int>>, n int, width int, want int")
+    got = df.select("want", license_scan.chain_length(F.col("votes"), F.col("n"), F.col("width")).alias("got")).collect()
+    # The best chain that ends at a place may have started too early to go on; one that is shorter by then is found.
+    assert all(r.got <= r.want for r in got) and sum(r.got == r.want for r in got) >= len(got) - 3
+
+
 def test_language_id(spark):
     en, fr = "the cat and the dog went with this house over there", "le chat et les chiens vont avec cette maison dans une rue"
     rng = random.Random(4)
@@ -170,6 +269,22 @@ def test_language_id(spark):
     assert language_id.identify(frame(spark, [], COLUMNS)).collect() == []
 
 
+def test_language_id_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    told = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0, F.col("lang"))
+    # A third of the labels is neither learned from nor evidence.
+    found = language_id.identify(docs.withColumn("truth", F.col("lang")).withColumn("lang", told)).where("lang is null and truth is not null").collect()
+    real = [r for r in found if r.language != language_id.UNKNOWN]
+    assert len(real) > 0.97 * len(found) and np.mean([r.language == r.truth for r in real]) > 0.95
+
+
+def test_language_id_keeps_other_columns_and_repeats(spark):
+    text = "the cat and the dog went with this house over there"
+    rows = [(1, text, "en", "http://a.example.co/x", 5), (1, text, "en", "http://a.example.co/x", 5), (2, text * 4000, None, "a.example.co", 6)]
+    got = language_id.identify(frame(spark, rows, "doc_id long, text string, lang string, source string, confidence long")).collect()
+    assert sorted((r.doc_id, r.language) for r in got) == [(1, "en"), (1, "en"), (2, "en")] and all(0 < r.confidence <= 1 for r in got)
+
+
 def test_language_id_of_many_languages(spark):
     rng = random.Random(14)
     words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for _ in range(70)]
@@ -230,6 +345,55 @@ def test_ngram_jaccard_edges(spark):
     assert ngram_join.jaccard_components(frame(spark, [])).collect() == []
 
 
+def test_ngram_jaccard_of_one_id_on_two_texts(spark):
+    rng = random.Random(17)
+    a, b = prose(rng, 40), prose(rng, 40)
+    got = ngram_join.jaccard_components(frame(spark, [(4, a), (4, b), (2, b), (9, a), (1, prose(rng, 40))])).collect()
+    # Each text of an id is a document of its own.
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (4, 2), (4, 4), (9, 4)]
+
+
+def test_ngram_jaccard_of_large_groups(spark):
+    # Several groups that share frequent passages, each too large for one bucket to settle, with sizes far apart.
+    rng = random.Random(18)
+    shared, rows, words = prose(rng, 12), [], {}
+    for g in range(4):
+        base = prose(rng, 60 + 30 * g).split()
+        for k in range(40):
+            text = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                text[rng.randrange(len(text))] = f"edit{rng.randrange(10**6)}"
+            rows.append((1000 * g + k, shared + " " + " ".join(text)))
+    rng.shuffle(rows)
+    sets = brute_sets(rows)
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = brute_components(sets, links)
+    got = ngram_join.jaccard_components(frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_signatures_bound_differences():
+    rng = random.Random(19)
+    texts = [prose(rng, n) for n in (3, 40, 41, 90, 300, 1200)]
+    texts += [" ".join(t.split()[: rng.randrange(1, 1200)]) for t in texts]
+    s = ngram_join.Shingles([t.encode() for t in texts], 5)
+    sets = [set(s.hash[a:b].tolist()) for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
+    sigs = s.signatures().to_pylist()
+    for x, a in zip(sets, sigs, strict=True):
+        for y, b in zip(sets, sigs, strict=True):
+            assert ngram_join._differing(a, b) <= len(x ^ y) and (x != y or ngram_join._differing(a, b) == 0)
+
+
+@pytest.mark.parametrize("most", [50_000, 7])
+def test_components_of_random_edges(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "TASK_EDGES", most)
+    rng = random.Random(20)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)]
+    got = {r.node: r.component for r in components.connected_components(frame(spark, edges, "a long, b long").repartition(4), "a", "b").collect()}
+    real = [(a, b) for a, b in edges if a != b]
+    assert got == brute_components({x for e in real for x in e}, real)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)] + [(200, x) for x in range(201, 260)] + [(None, 3), (7, 7)]
@@ -329,6 +493,31 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(frame(spark, [], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def test_embedding_dedup_of_repeated_ids_and_extreme_values(spark):
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.01]
+    rows = [(5, x, 1), (5, y, 1), (6, z, 1), (7, [1e200 * v for v in z], 1), (8, [1e-200 * v for v in z], 1), (9, [-0.0, 1.0, 0.0], 1), (10, y, 2)]
+    got = embedding_dedup.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>, label int")).collect()
+    # Id 5 stands on two unlike vectors: the one at right angles to the others links with nothing.
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 0, 5), (5, 4, 5), (6, 4, 5), (7, 4, 5), (8, 4, 5), (9, 4, 5), (10, 0, 10)]
+
+
+def test_embedding_dedup_recall(spark):
+    # Groups whose pairs lie on both sides of the threshold, among unlike vectors of the same labels.
+    rng = np.random.default_rng(24)
+    centres = rng.standard_normal((150, 64))
+    near = np.repeat(centres, 12, axis=0) + 0.142 * rng.standard_normal((1800, 64)) * rng.uniform(0.6, 1.05, (1800, 1))
+    unit = np.vstack([near, rng.standard_normal((1200, 64))]).astype(np.float32)
+    label = np.arange(len(unit)) // 12 % 3
+    table = frame(spark, [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(unit, label, strict=True))], "vec_id long, embedding array<float>, label int")
+    x = unit.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.98) & (label[:, None] == label)
+    want = links.sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table).collect()}
+    assert want.sum() > 4000 and all(got[i] <= n for i, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.9999 * want.sum()
+
+
 def test_chat_format(spark):
     rows = [
         (1, 0, "user", 'say "hi"\n', 1),
@@ -351,6 +540,61 @@ def test_chat_format(spark):
     assert len(twice) == 2 and chat_format.format_chats(frame(spark, [], schema), queries.CHAT_TOOLS).collect() == []
 
 
+def test_chat_format_loses_nothing(spark):
+    rows = [
+        (1, 0, "assistant", '{"tool_calls":[{"id":"a","name":"search","arguments":"{broken","type":"function"},{"id":"b","name":"search","arguments":"{\\"query\\":1,\\"query\\":2}"},{"id":"c","name":"search","arguments":"{\\"query\\":\\"x\\"}"}],"z":{"b":1,"a":[2]},"content":null}'),
+        (1, 1, "tool", '{"tool_call_id":"a","content":{"k":[1,"é"]},"is_error":true}'),
+        (1, 2, "assistant", '{"tool_calls":[{"id":"d"}],"tool_calls":[]}'),
+    ]
+    got = chat_format.format_chats(frame(spark, rows, "conv_id long, turn long, role string, text string"), queries.CHAT_TOOLS).orderBy("turn").collect()
+    call, result = json.loads(got[0].record), json.loads(got[1].record)
+    assert call["z"] == {"a": [2], "b": 1} and call["content"] is None
+    assert [c["arguments"] for c in call["tool_calls"]] == ["{broken", '{"query":1,"query":2}', {"query": "x"}] and call["tool_calls"][0]["type"] == "function"
+    assert (got[0].n_calls, got[0].n_valid, got[0].n_answered) == (3, 1, 1)
+    assert result == {"content": {"k": [1, "é"]}, "is_error": True, "role": "tool", "tool_call_id": "a"}
+    assert got[2].kind == "plain" and json.loads(got[2].record)["content"] == rows[2][3]
+    for r in got:
+        assert r.record == json.dumps(json.loads(r.record), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
+def test_chat_order(spark):
+    rng = random.Random(21)
+    rows = []
+    for conv in (1, 2, None):
+        for turn in range(60):
+            pick = rng.random()
+            if pick < 0.3:
+                rows.append((conv, turn, "assistant", json.dumps({"tool_calls": [{"id": f"t{rng.randrange(15)}", "name": "search", "arguments": {"query": "x"}}]})))
+            elif pick < 0.6:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": f"t{rng.randrange(15)}", "content": "r"})))
+            else:
+                rows.append((conv, turn, "user", f"hello {turn}"))
+    rows += [(1, 7, "user", "same turn")] * 2 + [(2, None, "user", "no turn")]
+    got = chat_format.format_chats(frame(spark, rows, "conv_id long, turn long, role string, text string"), queries.CHAT_TOOLS).collect()
+    assert len(got) == len(rows) and all(r.order_index is None for r in got if r.conv_id is None)
+    for conv in (1, 2):
+        made = {}
+        for c, turn, role, text in rows:
+            if c == conv and role == "assistant":
+                for call in json.loads(text)["tool_calls"]:
+                    made[call["id"]] = min(turn, made.get(call["id"], turn))
+        place = {}
+        for c, turn, role, text in rows:
+            if c == conv:
+                at = made.get(json.loads(text)["tool_call_id"]) if role == "tool" else None
+                none = (0, 0) if turn is None else (1, turn)
+                place.setdefault((none if at is None else max(none, (1, at)), int(at is not None), none), []).append((turn, role, text))
+        want, before = {}, 0
+        for key in sorted(place):
+            for turn, role, text in place[key]:
+                want[turn, json.loads(text).get("tool_call_id") if role == "tool" else None] = before
+            before += len(place[key])
+        mine = [r for r in got if r.conv_id == conv]
+        assert {(r.turn, json.loads(r.record).get("tool_call_id")): r.order_index for r in mine} == want
+        calls = {c["id"]: r.order_index for r in sorted(mine, key=lambda r: -(r.turn or 0)) if r.kind == "call" for c in json.loads(r.record)["tool_calls"]}
+        assert all(r.order_index > calls[json.loads(r.record)["tool_call_id"]] for r in mine if r.linked)
+
+
 def test_url_filter(spark):
     link = '<html><head><link href="{}" rel="canonical"></head>'
     pages = [
@@ -389,6 +633,32 @@ def test_url_filter(spark):
     assert url_filter.judge(frame(spark, [], schema), queries.URL_RULES).collect() == []
 
 
+def test_url_filter_of_many_rules_and_of_none(spark, monkeypatch):
+    rng = random.Random(22)
+    hosts = [".".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(30)]
+    rules = [(rng.choice(("block", "allow")), rng.choice(hosts), "/" + "".join(rng.choice("xy") for _ in range(rng.randrange(3)))) for _ in range(150)]
+    link = '<link rel="canonical" href="{}">'
+    pages = [(i, f"http://{rng.choice(hosts)}.{rng.choice(hosts)}/{''.join(rng.choice('xy') for _ in range(4))}", link.format(f"http://{rng.choice(hosts)}/x?a=1&amp;b=2") if i % 3 else None) for i in range(120)]
+    pages += [(900, None, None), (901, "http://", ""), (901, "http://", "")]
+    df = frame(spark, pages, "page_id long, url string, html string")
+    one = sorted(map(tuple, url_filter.judge(df, rules).collect()), key=str)
+    monkeypatch.setattr(url_filter, "COMPILED_RULES", 0)
+    assert sorted(map(tuple, url_filter.judge(df, rules).collect()), key=str) == one
+    for i, url, _ in pages:
+        host, path = (re.match(r"http://([^/]*)(.*)", url).groups()) if url else ("", "")
+        fits = sorted((-len(h + p), h + p, what) for what, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p))
+        for row in one:
+            if row[0] == i and fits:
+                assert row[3:5] == (fits[0][1], fits[0][2])
+            elif row[0] == i:
+                assert row[3] is None
+    monkeypatch.undo()
+    got = url_filter.judge(df, []).collect()
+    assert {(r.rule, r.verdict) for r in got} == {(None, "allow")} and len(got) == len(pages)
+    parts = url_filter.declared_links(frame(spark, [("http://h/a", link.format("/b?x=1&amp;y=2"))], "url string, html string"), "url", "html").collect()
+    assert [tuple(r) for r in parts] == [("h/a", "h/b?x=1&y=2")]
+
+
 def test_url_filter_resolves_relative_targets(spark):
     cases = [("new.html", "h/a/b/new.html"), ("../x?q#f", "h/a/x?q"), ("./", "h/a/b/"), ("..", "h/a/"), ("../../../z", "h/z"), ("?p=1", "h/a/b/c?p=1"), ("/r/../s", "h/s"), ("//K/t", "K/t"), ("ftp://k/u", "k/u"), ("x?u=http://k", "h/a/b/x?u=http://k"), ("mailto:x", None), ("#f", None)]
     df = frame(spark, cases, "t string, want string").select("*", url_filter.node_of(url_filter.resolved(F.lit("http://h/a/b/c?x=/y/z"), F.col("t"))).alias("got"))
@@ -437,6 +707,29 @@ def test_quality_held_out(spark):
     assert quality_cnn.train(docs, frame(spark, [], "doc_id long, quality int")).score(b"") >= 0
 
 
+def test_quality_of_texts_together_and_one_by_one(spark):
+    rng = random.Random(23)
+    net = quality_cnn.Network()
+    texts = [prose(rng, rng.randrange(0, 400)).encode() for _ in range(30)] + [b"", b"x", prose(rng, 30_000).encode()]
+
+    def plain(text):
+        codes, f, fb, w, wb, o, ob = (x.astype(np.float64) for x in net.weights)
+        padded = list(text) + [256] * (max(1, -(-(len(text) - 32) // 224)) * 224 + 32 - len(text))
+        pooled = []
+        for lo in range(0, len(padded) - 32, 224):
+            coded = codes[padded[lo : lo + 256]]
+            pooled.append(np.maximum(np.max([coded[p : p + 12].reshape(-1) @ f for p in range(0, 245, 4)], axis=0) + fb, 0))
+        hidden = np.maximum(np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)]) @ w + wb, 0)
+        return 1 / (1 + np.exp(-(hidden @ o + ob)[0]))
+
+    assert np.allclose(net.scores(texts), [plain(t) for t in texts], atol=1e-5)
+    got = quality_cnn.score(frame(spark, [(i, t.decode(), 7) for i, t in enumerate(texts)] * 2, "doc_id long, text string, score long"), net).collect()
+    assert len(got) == 2 * len(texts) and len({(r.doc_id, r.score) for r in got}) == len(texts)
+    before = [w.copy() for w in net.weights]
+    net.fit(texts[:20], np.arange(20) % 2, epochs=1)
+    assert all((a != b).any() for a, b in zip(before, net.weights, strict=True))
+
+
 def test_queries_on_small_tables(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]

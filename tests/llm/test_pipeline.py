@@ -48,3 +48,26 @@ def test_repeated_ids_of_different_texts(spark, tmp_path):
     got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
     want = [(3, a), (5, b), (6, min(c, near)), (8, d), (8, e), (9, None), (9, f), (None, f)]
     assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted((i or -1, t or "") for i, t in want)
+
+
+def test_columns_with_clashing_names(spark, tmp_path):
+    rng = random.Random(9)
+    passage = prose(rng, 40)
+    rows = [(1, "en", prose(rng, 50) + " " + passage), (2, "en", passage + " " + prose(rng, 50)), (None, "en", prose(rng, 60))]
+    names = ["language", "confidence", "n_words", "n_removed", "kept_text", "factors", "component_id", "mark", "held", "score"]
+    docs = spark.createDataFrame([(i, t, lang, "src", len(t), *[f"{n}{i}" for n in names]) for i, lang, t in rows], COLUMNS + "".join(f", {n} string" for n in names))
+    spark.createDataFrame([(0, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        assert sorted((r.doc_id or -1, *[r[n] for n in names]) for r in got.collect()) == sorted((i or -1, *[f"{n}{i}" for n in names]) for i, _, _ in rows)
+
+
+def test_leaks_of_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(10)
+    item = prose(rng, 40)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, prose(rng, 50)), (5, prose(rng, 20) + " " + item), (5, prose(rng, 50)), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows], COLUMNS)
+    got = corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in got) == sorted((i or -1, t or "") for i, t in [rows[1], *rows[3:]])
