@@ -6,16 +6,26 @@ returns a DataFrame. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flatjet.llm import decontaminate, language_id, ngram_join, packing, queries, shared, substring_dedup
 
 
+def _held(docs: DataFrame, *leave: str) -> Column:
+    """The columns of ``docs`` but for ``leave`` in one struct, so that no operator's own columns clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in leave]).alias("held")
+
+
+def _back(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` from the struct, or from ``new``, in their order."""
+    return df.select(*[new[c].alias(c) if c in new else F.col(f"held.`{c}`").alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no known language."""
-    found = language_id.identify(docs)
-    return found.where(F.col("language") != language_id.UNKNOWN).select(*docs.columns)
+    """Drop documents of no known language, null and blank texts among them; rows are judged one by one."""
+    found = language_id.identify(docs.select("text", "lang", "source", _held(docs)))
+    return _back(found.where(F.col("language") != language_id.UNKNOWN), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,21 +49,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated passages out; texts without any stay as they are, and documents with nothing left go."""
-    done = substring_dedup.remove_repeats(docs)
+    """Cut repeated passages out; texts without any stay as they are, and documents with nothing left go.
+
+    Rows without an id come after all others and rows of one id are one document, as in the operator.
+    """
+    done = substring_dedup.remove_repeats(docs.select("doc_id", "text", _held(docs, "text", "n_chars")))
     done = done.where("n_removed = 0 or kept_text <> ''")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return done.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _back(done, docs, text=text, n_chars=F.length(text).cast("long"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a test item or an edited copy of one."""
-    leaks = decontaminate.find_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold a test item or an edited copy of one; rows are known by id and text, so rows of a null or repeated id go one by one."""
+    mark = F.struct(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("text")).alias("mark")
+    leaks = decontaminate.find_leaks(docs.select(mark, "text"), queries.table(spark, sf_dir, "benchmark"), id_col="mark")
+    gone = leaks.select("mark").distinct()
+    kept = docs.select(_held(docs), mark).join(gone, "mark", "left_anti")
+    return _back(kept, docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise and pack what is left into sequences of 2048 ids, with the ids themselves."""
+    """Tokenise and pack what is left into sequences of 2048 ids, with the ids themselves; null and repeated ids are packed like others."""
     return packing.pack(docs, queries.tokenizer_path(), with_ids=True)
 
 
