@@ -1,6 +1,6 @@
 """Command line: python -m flatjet LINES SCHEMA.py [COUNT] [-o CSV] ...
 
-SCHEMA.py defines ``SCHEMA``.
+SCHEMA.py defines ``SCHEMA``; it may use ``WS``, the lanes of its hashes.
 """
 
 from __future__ import annotations
@@ -49,12 +49,13 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--assumptions", choices=list(ASSUME))
     p.add_argument("--const-order", action="store_true")
     p.add_argument("-s", "--max-string-size", type=int)
+    p.add_argument("--ws", type=int, default=32, help="lanes of rolling hashes, as WS in SCHEMA.py")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("flatjet").getOrCreate()
     if a.engine == "builtin":
         df = read_builtin(spark, a.lines, a.types)
     else:
-        schema = runpy.run_path(a.schema)["SCHEMA"]
+        schema = runpy.run_path(a.schema, {"WS": a.ws})["SCHEMA"]
         if a.assumptions or a.const_order or a.max_string_size:
             schema = assumed(schema, *ASSUME["const" if a.const_order else a.assumptions or "none"], a.max_string_size)
         lines = read_lines(spark, a.lines, expected_count=a.count)

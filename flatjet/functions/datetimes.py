@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,30 +11,51 @@ from pyspark.sql import functions as F
 WIDTHS = {"Y": 4, "m": 2, "d": 2, "H": 2, "M": 2, "S": 2}
 
 
-def tokens(fmt: str) -> list[tuple[str, int, int]]:
-    """(token, place, width) of each field; each may stand once, ``%%`` is a percent sign."""
-    out, place, i = [], 0, 0
+def pieces(fmt: str | Sequence[str | tuple[str, int]]) -> list[tuple[str, int]]:
+    """(token, width) of each field and ("", bytes) of each literal text of a format.
+
+    A format is a string in which ``%%`` is a percent sign, or a list of literal
+    texts and (token, digits), where fields may be of any width. Each field may
+    stand once.
+    """
+    out: list[tuple[str, int]] = []
+
+    def add(token: str, width: int) -> None:
+        if token and (token not in WIDTHS or width < 1):
+            raise ValueError(f"unknown token %{token}")
+        if token and token in [t for t, _ in out]:
+            raise ValueError(f"%{token} stands twice")
+        out.append((token, width))
+
+    if not isinstance(fmt, str):
+        for x in fmt:
+            add(*(("", len(x.encode())) if isinstance(x, str) else x))
+        return out
+    i = 0
     while i < len(fmt):
         if fmt[i] != "%":
-            place, i = place + len(fmt[i].encode()), i + 1
+            add("", len(fmt[i].encode()))
+            i += 1
             continue
         if i + 1 == len(fmt):
             raise ValueError("a format cannot end in %")
         kind = fmt[i + 1]
-        if kind == "%":
-            place += 1
-        elif kind in WIDTHS:
-            if kind in [t for t, _, _ in out]:
-                raise ValueError(f"%{kind} stands twice")
-            out.append((kind, place, WIDTHS[kind]))
-            place += WIDTHS[kind]
-        else:
-            raise ValueError(f"unknown token %{kind}")
+        add(*(("", 1) if kind == "%" else (kind, WIDTHS.get(kind, 0))))
         i += 2
     return out
 
 
-def epoch(fmt: str, resolution: str = "s"):
+def tokens(fmt: str | Sequence[str | tuple[str, int]]) -> list[tuple[str, int, int]]:
+    """(token, place, width) of each field."""
+    out, place = [], 0
+    for token, width in pieces(fmt):
+        if token:
+            out.append((token, place, width))
+        place += width
+    return out
+
+
+def epoch(fmt: str | Sequence[str | tuple[str, int]], resolution: str = "s"):
     """Epoch seconds or milliseconds in UTC; literal text is passed over by length, absent fields are those of 1970-01-01."""
     if resolution not in ("s", "ms"):
         raise ValueError("resolution is 's' or 'ms'")

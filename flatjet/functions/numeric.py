@@ -51,3 +51,27 @@ def wrap(c: Column, bits: int, signed: bool) -> Column:
         return F.pmod(wide, size)
     half = F.lit(Decimal(2 ** (bits - 1))).cast("decimal(38,0)")
     return F.pmod(wide + half, size) - half
+
+
+def wrap_long(c: Column, bits: int, signed: bool) -> Column:
+    """A long of 18 digits at most modulo 2**bits, in the signed or unsigned range; bit operations only."""
+    if bits == 64:
+        return c if signed else c.cast("decimal(20,0)")
+    mask = F.lit(2**bits - 1).cast("long")
+    if not signed:
+        return c.bitwiseAND(mask)
+    half = F.lit(2 ** (bits - 1)).cast("long")
+    return (c + half).bitwiseAND(mask) - half
+
+
+def wrap_digits(c: Column, bits: int, signed: bool) -> Column:
+    """The text of an integer of any length modulo 2**bits, in the signed or unsigned range."""
+    size = F.lit(Decimal(2**bits)).cast("decimal(38,0)")
+    digits = F.ltrim(F.regexp_replace(c, "^-", ""))
+    parts = F.ceil(F.length(digits) / 18).cast("int")
+    padded = F.lpad(digits, parts * 18, F.lit("0"))
+    # Eighteen digits at a time from the left; the state has twenty at most.
+    shift = F.lit(Decimal(10**18)).cast("decimal(19,0)")
+    part = lambda i: F.substring(padded, i * 18 + 1, F.lit(18)).cast("decimal(18,0)")
+    rest = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(Decimal(0)).cast("decimal(38,0)"), lambda acc, i: F.pmod((acc.cast("decimal(20,0)") * shift + part(i)).cast("decimal(38,0)"), size).cast("decimal(38,0)"))
+    return F.when(F.length(digits) > 0, wrap(F.when(c.startswith("-"), -rest).otherwise(rest), bits, signed))

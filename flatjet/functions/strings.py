@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,6 +88,16 @@ def category(codes: Mapping[str, int], by_hash: bool = False, multiplier: int =
     return coded
 
 
+def fold(start: object, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column] = lambda acc: acc):
+    """A function of one's own over the characters of a string, from left to right: ``step(state, character)``, then ``finish(state)``."""
+    return lambda c: F.aggregate(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), start if isinstance(start, Column) else F.lit(start), step, finish)
+
+
+def column_hash(c: Column) -> Column:
+    """A 64-bit hash of each value, for columns that are only compared or joined."""
+    return F.xxhash64(c)
+
+
 def char_count(char: str):
     """How often one character occurs."""
     return lambda c: (F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))).cast("int")

@@ -8,17 +8,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.compiler import FAILED, FastPlan, finished, transformed, value_of
+from ..plans.compiler import FAILED, OK, FastPlan, finished, transformed, value_of
 from ..plans.strict import NULL, VALUE, parse_batches, parsed_schema
 from ..schema import Int, Real, leaves, validate
 
 
-def extract(df: DataFrame, schema: object, column: str = "value", engine: str = "auto", errors: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def extract(df: DataFrame, schema: object, column: str = "value", engine: str = "auto", errors: str | None = None, keep: list[str] | None = None, trusted: bool = False) -> DataFrame:
     """Columns of ``schema`` from the JSON text in ``column``, one row for each row of ``df``.
 
-    engine "fast" compiles to one pruned ``from_json`` and column expressions;
-    "strict" runs the row-level parser, which keeps what stands before an error
-    in a line; "auto" takes the fast one wherever the schema allows it.
+    engine "fast" compiles to pruned ``from_json`` calls behind a pattern that
+    tells whether a line fits the schema, all in the JVM; "strict" runs the
+    row-level parser; "auto" takes the fast one wherever the schema allows it.
+    Both give the same values and codes, and a line that does not fit keeps what
+    stands before the error.
+    ``trusted`` lines are read without the pattern: they must be well formed and
+    fit the schema, and integers must have 18 digits at most.
     ``errors`` names a column for the error code (0, or 255 for a line that does
     not fit); ``keep`` lists input columns to carry along. Missing keys leave 0,
     false or an empty string. Null lines are errors.
@@ -30,15 +34,25 @@ def extract(df: DataFrame, schema: object, column: str = "value", engine: str =
         raise ValueError("engine is 'auto', 'fast' or 'strict'")
     if engine == "fast" and why:
         raise ValueError(f"the row-level engine is needed: {why}")
+    if trusted and errors:
+        raise ValueError("trusted lines have no errors")
     kept = [F.col(f"`{c}`") for c in keep or []]
     if engine == "strict" or why:
         return _strict(df, schema, column, errors, keep or [])
-    text = F.col(f"`{column}`")
-    # A struct of what is kept, so that names cannot clash with the parsed column.
-    base = df.select(text.alias("text"), F.struct(*kept, F.lit(0).alias("_")).alias("row")).withColumn("p", plan.parsed(F.col("text"), bool(errors)))
-    out = [F.col(f"row.`{c}`").alias(c) for c in keep or []] + _finish(base, plan.values(F.col("p"), F.col("text")))
+    # A struct of what is kept, and names of its own, so that no column clashes with the working ones.
+    text, taken, fits, rest, p, w = (F.col(f"__{c}") for c in ("text", "taken", "fits", "rest", "p", "w"))
+    base = df.select(F.col(f"`{column}`").cast("string").alias("__text"), F.struct(*kept, F.lit(0).alias("_")).alias("__row"))
+    out = [F.col(f"__row.`{c}`").alias(c) for c in keep or []]
+    if trusted:
+        base = base.withColumn("__p", plan.parsed(text, False))
+        return base.select(*out, *_finish(base, plan.values(text, F.lit(True), p, None, None)))
+    quick, full, begun = plan.guards(text)
+    base = base.withColumn("__taken", quick).withColumn("__fits", taken | full)
+    base = base.withColumn("__rest", F.when(taken, F.lit(None)).when(fits, text).otherwise(begun))
+    base = base.withColumns({"__p": plan.parsed(F.when(taken, text), False), "__w": plan.parsed(rest, True)})
+    out += _finish(base, plan.values(text, taken, p, w, rest))
     if errors:
-        out.append(plan.error(F.col("p"), F.col("text")).alias(errors))
+        out.append(F.when(fits, F.lit(OK)).otherwise(F.lit(FAILED)).cast("short").alias(errors))
     return base.select(*out)
 
 

@@ -1,54 +1,62 @@
-"""Compile a schema into one pruned ``from_json`` and column expressions."""
+"""Compile a schema into pruned ``from_json`` calls, a pattern that guards them, and column expressions."""
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import epoch, truncate_bytes, wrap
+from ..functions import epoch, truncate_bytes, wrap_digits
+from ..functions.datetimes import pieces
+from ..functions.numeric import wrap_long
 from ..schema import NO_DEFAULT, Array, Bool, Check, Datetime, Dict, Int, Leaf, Real, Skip, Str, leaves, validate
+from .grammar import NO_BRACKETS, START_DEPTH, STRINGS, Grammar
 
-CORRUPT = "__corrupt"
 OK, FAILED = 0, 255
+#: Longest pattern that generated code holds as a constant.
+MOST_CONSTANT = 60_000
+
+
+def _has_columns(node: object) -> bool:
+    return next(leaves(node), None) is not None
 
 
-def _json_type(node: object) -> T.DataType:
-    """The type that ``from_json`` reads: only what the schema names."""
+def _json_type(node: object, exact: bool) -> T.DataType:
+    """The type that ``from_json`` reads: only what gives columns.
+
+    With ``exact``, integers of any length and arrays of any kinds can be read:
+    they come as text.
+    """
     if isinstance(node, Dict):
-        return T.StructType([T.StructField(k, _json_type(v)) for k, v in node.fields.items()])
+        return T.StructType([T.StructField(k, _json_type(v, exact)) for k, v in node.fields.items() if _has_columns(v)])
     if isinstance(node, Array):
-        kinds = {repr(_json_type(v)): _json_type(v) for v in node.items.values()}
+        kinds = {repr(t): t for t in (_json_type(v, exact) for v in node.items.values() if _has_columns(v))}
         # Items of one type are read directly; others as text that is read again by item.
-        return T.ArrayType(next(iter(kinds.values())) if len(kinds) == 1 else T.StringType())
+        return T.ArrayType(next(iter(kinds.values())) if len(kinds) == 1 and not exact else T.StringType())
     if isinstance(node, Int):
-        return T.DecimalType(38, 0) if node.bits == 64 else T.LongType()
+        return T.StringType() if exact else T.LongType()
     if isinstance(node, Real):
-        return T.StringType() if node.nine_digits or not node.exponent else T.DoubleType()
-    if isinstance(node, Bool):
-        return T.BooleanType()
-    return T.StringType()
+        return T.StringType() if node.nine_digits else T.DoubleType()
+    return T.BooleanType() if isinstance(node, Bool) else T.StringType()
 
 
-def _reread(text: Column, node: object) -> Column:
+def _typed(node: Array) -> bool:
+    return _json_type(node, False).elementType != T.StringType()
+
+
+def _reread(text: Column, node: object, exact: bool) -> Column:
     """An array item of mixed arrays from its text."""
+    kind = _json_type(node, exact)
     if isinstance(node, (Dict, Array)):
-        kind = _json_type(node)
-        return F.from_json(text, kind.simpleString(), {"mode": "PERMISSIVE"}) if isinstance(node, Dict) else F.from_json(text, kind)
-    return text.try_cast(_json_type(node).simpleString())
+        return F.from_json(text, kind.simpleString() if isinstance(node, Dict) else kind, {"mode": "PERMISSIVE"})
+    return text if kind == T.StringType() else text.try_cast(kind.simpleString())
 
 
-def value_of(leaf: Leaf, c: Column) -> Column:
+def value_of(leaf: Leaf, c: Column, exact: bool = True) -> Column:
     """The leaf's value in its output type from what was read; null stays null."""
     kind = leaf.raw_type().simpleString()
     if isinstance(leaf, Int):
-        edge = 2 ** (leaf.bits - (1 if leaf.signed else 0))
-        bound = (lambda n: F.lit(Decimal(n))) if leaf.bits == 64 else F.lit
-        inside = (c >= bound(-edge if leaf.signed else 0)) & (c < bound(edge))
-        # Values in range take the plain cast; the exact remainder is for the rest.
-        return F.when(inside, c.try_cast(kind)).otherwise(wrap(c, leaf.bits, leaf.signed).try_cast(kind))
+        return (wrap_digits if exact else wrap_long)(c, leaf.bits, leaf.signed).cast(kind)
     if isinstance(leaf, Real):
         text = F.regexp_replace(c.cast("string"), r"(\.\d{9})\d+", "$1") if leaf.nine_digits else c
         return text.try_cast(kind)
@@ -85,95 +93,76 @@ def finished(leaf: Leaf, value: Column, explicit_null: Column, kind: T.DataType)
 class FastPlan:
     """Expressions for a schema whose root is a ``Dict`` over a column of JSON text.
 
-    Exact for well-formed lines. Raw strings, limits on nested skipping, types of
-    skipped values and values of broken lines up to the break need the
-    row-level plan; ``needs_strict`` says why a schema cannot be compiled.
+    A pattern made of the schema tells lines that fit it; it takes the common
+    ones at once, and a fuller one the others. Lines that do not fit keep what
+    stands before the error: their complete pairs. ``needs_strict`` says why a
+    schema cannot be compiled.
     """
 
     def __init__(self, root: object):
         validate(root)
-        self.root, self.kind = root, _json_type(root)
+        self.root = root
         self.columns = list(leaves(root))
 
     def needs_strict(self) -> str | None:
         if not isinstance(self.root, Dict):
             return "the root is not an object"
 
-        def look(node: object, top: bool) -> str | None:
+        def look(node: object) -> str | None:
             if isinstance(node, Str) and node.raw:
                 return f"{node.name} keeps escapes"
-            if isinstance(node, Dict):
-                if not top and (node.order == "const" or node.skip is None):
-                    return "key order or unknown keys of a nested object are checked"
-                limit = node.skip
-                children = node.fields.values()
-            elif isinstance(node, Array):
-                limit, children = node.skip, node.items.values()
-                if limit is None and not top:
-                    limit = Skip()
-            else:
-                return "a skipped value is checked" if isinstance(node, Skip) and node != Skip() else None
-            if limit is not None and limit != Skip():
-                return "skipped values are limited"
-            return next((why for c in children if (why := look(c, False))), None)
-
-        return look(self.root, True)
-
-    def parsed(self, text: Column, errors: bool = True) -> Column:
-        """What ``from_json`` reads; broken lines are noted only if errors are asked for."""
-        noted = [T.StructField(CORRUPT, T.StringType())] if errors else []
-        return F.from_json(text, T.StructType([*self.kind.fields, *noted]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-
-    def _walk(self, node: object, at: Column, raw: Column, absent: Column | None):
-        """(leaf, value read, whether JSON null stands there) of each leaf; ``raw`` is the text of ``node``."""
+            if isinstance(node, Datetime) and not all(x.isascii() for x in ([node.fmt] if isinstance(node.fmt, str) else [t for t in node.fmt if isinstance(t, str)])):
+                return f"{node.name} has literal text that is not ASCII"
+            children = node.fields.values() if isinstance(node, Dict) else node.items.values() if isinstance(node, Array) else ()
+            return next((why for c in children if (why := look(c))), None)
+
+        return look(self.root)
+
+    def guards(self, text: Column) -> tuple[Column, Column, Column]:
+        """Whether the quick pattern takes a line, whether the full one does, and what is whole of a line that does not fit, its brackets closed."""
+        quick, full, start = Grammar(self.root, True, _typed), Grammar(self.root), Grammar(self.root, depth=START_DEPTH)
+        pattern = quick.whole()
+        taken = text.rlike(pattern) if len(pattern) < MOST_CONSTANT else F.regexp_extract(text, pattern, 0) != ""
+        begun = F.regexp_extract(text, start.start(), 0)
+        left = F.regexp_replace(F.regexp_replace(begun, STRINGS, ""), NO_BRACKETS, "")
+        for _ in range(start.levels()):
+            left = F.regexp_replace(left, r"\{\}|\[\]", "")
+        return F.coalesce(taken, F.lit(False)), F.coalesce(F.regexp_extract(text, full.whole(), 0) != "", F.lit(False)), F.concat(begun, F.translate(F.reverse(left), "{[", "}]"))
+
+    def parsed(self, text: Column, exact: bool) -> Column:
+        kind = _json_type(self.root, exact)
+        return F.from_json(text, kind if kind.fields else T.StructType([T.StructField("none", T.StringType())]), {"mode": "PERMISSIVE"})
+
+    def _walk(self, node: object, at: Column, raw: Column, absent: Column | None, exact: bool):
+        """(leaf, value read, whether JSON null stands there) of each leaf; ``raw`` is the text of ``node``, which is looked at only where nothing was read."""
         if isinstance(node, Dict):
             keys = F.json_object_keys(raw)
             for k, child in node.fields.items():
-                path = "$['" + k.replace("'", "\\'") + "']"
-                yield from self._walk(child, at.getField(k), F.get_json_object(raw, path), F.coalesce(F.array_contains(keys, k), F.lit(False)))
+                if _has_columns(child):
+                    path = "$['" + k.replace("'", "\\'") + "']"
+                    yield from self._walk(child, at.getField(k), F.get_json_object(raw, path), F.coalesce(F.array_contains(keys, k), F.lit(False)), exact)
         elif isinstance(node, Array):
-            mixed = _json_type(node).elementType == T.StringType()
+            text = _json_type(node, exact).elementType == T.StringType()
             for i, child in sorted(node.items.items()):
-                item = F.get(at, F.lit(i))
-                if mixed and not isinstance(child, Leaf) or mixed and _json_type(child) != T.StringType():
-                    item = _reread(item, child)
-                yield from self._walk(child, item, F.get_json_object(raw, f"$[{i}]"), F.coalesce(F.size(at) > i, F.lit(False)))
+                if _has_columns(child):
+                    item = F.get(at, F.lit(i))
+                    item = _reread(item, child, exact) if text else item
+                    yield from self._walk(child, item, F.get_json_object(raw, f"$[{i}]"), F.coalesce(F.size(at) > i, F.lit(False)), exact)
         elif isinstance(node, Leaf):
-            yield node, at, (absent if absent is not None else F.lit(True)) & at.isNull()
-
-    def values(self, parsed: Column, text: Column) -> list[tuple[Leaf, Column, Column]]:
-        """(leaf, value, whether JSON null stands there) of each output column."""
-        return [(leaf, value_of(leaf, at), null) for leaf, at, null in self._walk(self.root, parsed, text, None) if not isinstance(leaf, Check)]
-
-    def error(self, parsed: Column, text: Column) -> Column:
-        """255 for lines that break the grammar or the schema, else 0."""
-        bad = text.isNull() | ~F.coalesce(text, F.lit("")).startswith("{") | parsed.getField(CORRUPT).isNotNull()
-        # \\u escapes are not part of the grammar.
-        bad = bad | F.coalesce(text, F.lit("")).rlike(r"(?<!\\)(?:\\\\)*\\u")
-        root = self.root
-        keys = F.json_object_keys(text)
-        names = F.array(*[F.lit(k) for k in root.fields])
-        if root.order == "const":
-            bad = bad | ~F.coalesce(keys == names, F.lit(False))
-        elif root.skip is None:
-            bad = bad | (F.size(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), names)) > 0)
-        for leaf, at, null in self._walk(root, parsed, text, None):
-            if leaf.null is NO_DEFAULT:
-                bad = bad | null
-            if isinstance(leaf, (Int, Real)) and not leaf.signed:
-                bad = bad | (F.coalesce(at.cast("string"), F.lit("")).startswith("-"))
-            if isinstance(leaf, Real) and not leaf.exponent:
-                bad = bad | F.coalesce(at.cast("string"), F.lit("")).rlike("[eE]")
-            if isinstance(leaf, Datetime):
-                bad = bad | (at.isNotNull() & epoch(leaf.fmt, leaf.resolution)(at).isNull())
-        for node, at in self._arrays(root, parsed):
-            if node.skip is None:
-                bad = bad | (F.coalesce(F.size(at), F.lit(0)) > len(node.items))
-        return F.when(F.coalesce(bad, F.lit(True)), F.lit(FAILED)).otherwise(F.lit(OK)).cast("short")
-
-    def _arrays(self, node: object, at: Column):
-        if isinstance(node, Dict):
-            for k, child in node.fields.items():
-                yield from self._arrays(child, at.getField(k))
-        elif isinstance(node, Array):
-            yield node, at
+            yield node, at, at.isNull() & (absent if absent is not None else F.lit(True))
+
+    def values(self, text: Column, taken: Column, quick: Column, rest: Column | None, rest_text: Column | None) -> list[tuple[Leaf, Column, Column]]:
+        """(leaf, value, whether JSON null stands there) of each output column, of what was read of lines that the quick pattern took and of others."""
+        one = [(leaf, value_of(leaf, at, False), null) for leaf, at, null in self._walk(self.root, quick, text, None, False)]
+        if rest is None:
+            return one
+        two = [(value_of(leaf, at, True), null) for leaf, at, null in self._walk(self.root, rest, rest_text, None, True)]
+        return [(leaf, F.when(taken, a).otherwise(b), F.when(taken, na).otherwise(nb)) for (leaf, a, na), (b, nb) in zip(one, two, strict=True)]
+
+
+def ddl_of(root: object) -> str:
+    """The DDL of a schema for the built-in JSON reader: its fields with the types in which they stand in a line."""
+    validate(root)
+    if not isinstance(root, Dict):
+        raise ValueError("the built-in reader reads objects")
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _json_type(root, False).fields)

@@ -100,9 +100,9 @@ class Str(Leaf):
 
 @dataclass(frozen=True)
 class Datetime(Leaf):
-    """Epoch seconds ("s") or milliseconds ("ms") of a quoted date and time in UTC, by a strftime-like format."""
+    """Epoch seconds ("s") or milliseconds ("ms") of a quoted date and time in UTC, by a strftime-like format or a tuple of literal texts and (token, digits)."""
 
-    fmt: str = "%Y-%m-%d %H:%M:%S"
+    fmt: str | tuple[str | tuple[str, int], ...] = "%Y-%m-%d %H:%M:%S"
     resolution: str = "s"
 
     def zero(self) -> object:

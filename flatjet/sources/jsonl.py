@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str | list[str], line_sep: str | None = None, expected_count: int | None = None) -> DataFrame:
-    """Lines of files as ``value``; LF and CRLF end lines unless ``line_sep`` is given. Files split at any line."""
-    reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
-    df = reader.text(path)
+    """Lines of files as ``value``; LF and CRLF end lines unless ``line_sep`` is given. Files split at any line.
+
+    A CR that no LF follows is an error, as it may have been meant as the end of a line.
+    """
+    df = spark.read.option("lineSep", line_sep or "\n").text(path)
+    if not line_sep:
+        value = F.col("value")
+        line = F.when(value.endswith("\r"), F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value)
+        alone = F.raise_error(F.lit("a line holds a carriage return without a line feed")).cast("string")
+        df = df.select(line.alias("value")).select(F.when(F.instr("value", "\r") > 0, alone).otherwise(F.col("value")).alias("value"))
     return df if expected_count is None else with_expected_count(df, expected_count)
 
 

@@ -91,6 +91,61 @@ STRICT = [
 ]
 
 
+#: Further lines on which the engines must agree.
+DEEP = Dict({"o": Dict({"p": Int("p"), "v": Array({0: Int("a"), 1: Dict({"q": Str("q")})})}), "z": Int("z", null=5)})
+MORE = [
+    (line, DEEP, None, 255)
+    for line in (
+        '{"z":1,"o":{"p":2,"v":[3,{"q":"x"},nope',
+        '{"o":{"p":2,"v":[3,{"q":"x","r":[[1,{"a":"]}"}]],"bad" 1}]}}',
+        '{"o":{"p":2,"v":[3,{"q":5}]},"z":1}',
+        '{"o":{"w":{"a":[1,"}{",{}]},"p":7,"v":[3 4]}}',
+        '{"z":null,"o":{"p":1}',
+        '{"z":1 "o":{"p":1}}',
+        '{,"z":1}',
+        '{"z":1,,"o":{}}',
+        '{"z":1,"o":[1]}',
+        '{"z":1,"o":{"p":1,}}',
+        '{"o":{"v":[1,{"q":"a\\x"}]}}',
+        "{",
+        "nope",
+        '{"o":{"v":{}}}',
+    )
+] + [
+    ('{"o":{"v":[1,{"q":"a\\n\\"b"},{"x":1}],"p":3},"z":null}', DEEP, None, 0),
+    ('{ "o" : { "p" : 12345678901234567890123 , "v" : [ 99999999999999999999 ] } , "z" : 3 }', DEEP, None, 0),
+    ('{"a":-' + "7" * 60 + "}", Dict({"a": Int("a", 64, signed=True)}), None, 0),
+    ('{"a":' + "7" * 60 + "}", Dict({"a": Int("a", 64)}), None, 0),
+    ('{"a":-9223372036854775808}', Dict({"a": Int("a", 64, signed=True)}), None, 0),
+    ('{"a":9223372036854775808}', Dict({"a": Int("a", 64, signed=True)}), None, 0),
+    ('{"a":-0}', Dict({"a": Int("a", 64, signed=True)}), None, 0),
+    ('{"v":[1,"x",{},3]}', Dict({"v": Array({0: Int("a"), 3: Int("b")})}), None, 0),
+    ('{"v":[1,2,"x"]}', Dict({"v": Array({0: Int("a"), 1: Int("b")})}), None, 0),
+    ('{"v":[1,null]}', Dict({"v": Array({0: Int("a"), 1: Int("b")})}), None, 255),
+    ('{"v":[null,2]}', Dict({"v": Array({0: Int("a", null=4), 1: Int("b")})}), None, 0),
+    ('{"v":[{"k":1},7]}', Dict({"v": Array({0: Dict({"k": Int("k")})})}), None, 0),
+    ('{"v":[{"k":1},{"k":2}]}', Dict({"v": Array({0: Dict({"k": Int("k")})})}), None, 0),
+    ('{"s":{"z":1}}', Dict({"s": Str("s")}), None, 255),
+    ('{"s":"a\u0001b"}', Dict({"s": Str("s")}), None, 255),
+    ('{"t":"+020-01-01"}', Dict({"t": Datetime("t", "%Y-%m-%d")}), None, 255),
+    ('{"t":"2020-01- 1"}', Dict({"t": Datetime("t", "%Y-%m-%d")}), None, 255),
+    ('{"t":"2020-01-01T"}', Dict({"t": Datetime("t", "%Y-%m-%d")}), None, 0),
+    ('{"t":"20/1/02"}', Dict({"t": Datetime("t", (("Y", 2), "/", ("m", 1), "/", ("d", 2)))}), None, 0),
+    ('{"x":-1.5E+2}', Dict({"x": Real("x")}), None, 0),
+    ('{"x":.5}', Dict({"x": Real("x")}), None, 255),
+    ('{"x":1.}', Dict({"x": Real("x")}), None, 255),
+    ('{"b":truex}', Dict({"b": Bool("b")}), None, 255),
+    ('{"o":{"a":1,"b":2}}', Dict({"o": Dict({"a": Int("a")}, skip=None)}), None, 255),
+    ('{"o":{"b":2,"a":1}}', Dict({"o": Dict({"a": Int("a"), "b": Int("b")}, "const", None)}), None, 255),
+    ('{"o":{"a":1,"b":2}}', Dict({"o": Dict({"a": Int("a"), "b": Int("b")}, "const", None)}), None, 0),
+    ('{"s":"ok","z":[1,{"a":true}]}', Dict({"s": Check(), "z": Skip()}), None, 0),
+    ('{"s":"ok","z":[1,{"a":tru}]}', Dict({"s": Check(), "z": Skip()}), None, 255),
+    ('{"we ird.$[k]":1,"é":2}', Dict({"we ird.$[k]": Int("a"), "é": Int("b")}), None, 0),
+    ("{}", Dict({}), None, 0),
+    ('{"a":1}', Dict({}, skip=None), None, 255),
+]
+
+
 @pytest.mark.parametrize(("line", "schema", "values", "error"), BOTH + STRICT)
 def test_row_level(line, schema, values, error):
     found, good = RowParser(schema).parse(line.encode())
@@ -107,6 +162,12 @@ def test_dialect_in_both(spark, engine):
             assert row[-1] == error, (line, row)
 
 
+def test_engines_agree_on_the_whole_dialect(spark):
+    for line, schema, _, error in BOTH + STRICT + MORE:
+        (auto,), (strict,) = (run(spark, [line], schema, engine) for engine in ("auto", "strict"))
+        assert auto == strict and auto[-1] == error, (line, auto, strict)
+
+
 def test_dialect_of_the_row_level_engine(spark):
     for line, schema, values, error in STRICT:
         assert run(spark, [line], schema, "strict") == [(*values, error)], line
@@ -148,11 +209,40 @@ def test_engines_agree_on_good_lines(spark):
     assert fast == strict and all(r[-1] == 0 for r in fast)
 
 
-def test_nested_skip_needs_the_row_level_engine(spark):
+def test_nested_skip_and_raw_strings(spark):
     schema = Dict({"o": Dict({"a": Int("a")}, skip=None)})
+    for engine in ("auto", "fast", "strict"):
+        assert run(spark, ['{"o":{"a":1,"b":2}}', '{"o":{"a":1}}'], schema, engine) == [(1, 255), (1, 0)]
     with pytest.raises(ValueError, match="row-level"):
-        extract(frame_of(spark, ["{}"]), schema, engine="fast")
-    assert run(spark, ['{"o":{"a":1,"b":2}}', '{"o":{"a":1}}'], schema) == [(1, 255), (1, 0)]
+        extract(frame_of(spark, ["{}"]), Dict({"s": Str("s", raw=True)}), engine="fast")
+
+
+def test_engines_agree_on_broken_lines(spark):
+    rng = random.Random(6)
+    schema = Dict({"n": Int("n", 16), "s": Str("s", 7), "x": Real("x"), "o": Dict({"in": Int("in")}), "v": Array({0: Int("v0"), 1: Dict({"w": Str("w")})}), "none": Int("none", null=99)})
+    lines = []
+    for _ in range(500):
+        line = random_line(rng)
+        at = rng.randrange(len(line) + 1)
+        lines.append(rng.choice([line[:at], line[:at] + rng.choice('{}[],:"\\ x1\u0007') + line[at:], line[:at] + line[at + 1 :]]))
+    fast, strict = (run(spark, lines, schema, e) for e in ("fast", "strict"))
+    for line, a, b in zip(lines, fast, strict, strict=True):
+        assert a == b, (line, a, b)
+
+
+def test_very_long_lines(spark):
+    long = {"a": 7, "s": "x\n" * 200_000, "z": [[i, {"k": "v" * 9}] for i in range(30_000)]}
+    schema = Dict({"a": Int("a"), "s": Str("s", 5)})
+    lines = [json.dumps(long), json.dumps(long)[:-1], json.dumps(long).replace("29999", "29999x")]
+    assert run(spark, lines, schema, "fast") == run(spark, lines, schema, "strict") == [(7, "x\nx\nx", 0), (7, "x\nx\nx", 255), (7, "x\nx\nx", 255)]
+
+
+def test_trusted_lines(spark):
+    schema = Dict({"a": Int("a", 8), "o": Dict({"s": Str("s", null="n")})})
+    df = extract(frame_of(spark, ['{"a":300,"o":{"s":null}}', '{"o":{"s":"t"}}']), schema, trusted=True)
+    assert [tuple(r) for r in df.collect()] == [(44, "n"), (0, "t")] and "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        extract(frame_of(spark, ["{}"]), schema, errors="e", trusted=True)
 
 
 def test_transforms_and_kept_columns(spark):
@@ -185,3 +275,4 @@ def test_only_named_fields_are_parsed(spark):
     df = extract(frame_of(spark, ["{}"]), Dict({"a": Int("a"), "o": Dict({"p": Str("p")})}))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "StructField(a,LongType" in plan and "Python" not in plan and plan.count("StructField(") <= 8
+    assert plan.count("from_json") <= 2
