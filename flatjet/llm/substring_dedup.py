@@ -163,7 +163,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     unsure = (F.lit(repeat) | key.isNull()) & text.isNotNull()
     base = documents.select(
         F.coalesce(key, F.lit(_LAST)).alias("dkey"),
-        F.when(unsure, F.unhex(F.md5(text.cast("binary")))).otherwise(F.lit(b"")).alias("tag"),
+        # Never null, as seen by the optimiser too: else the inner join filters nulls and shuffles the texts again.
+        F.coalesce(F.when(unsure, F.unhex(F.md5(text.cast("binary")))), F.lit(b"")).alias("tag"),
         text.alias("t"),
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"),
     )
