@@ -18,9 +18,9 @@ from .textkit import Words, freed, gram, mix, signed, slices, texts_of
 SKETCH_BITS = 18
 #: Most bits of the filter of wanted sets, 2**26; what passes by mistake is only joined in vain.
 MOST_FILTER_BITS = 26
-#: Rows before it that each row of a small bucket or each component's row of a large one is paired with, and draws of such rows
-#: before all pairs that are still apart are joined.
-NEAR, DRAWS = 3, 2
+#: Rows before it that each row is paired with in small buckets and in draws from large ones, draws before all pairs that are
+#: still apart are joined, and the step of sizes (2**3) within which one of them is at random.
+NEAR, DRAWS, SIMILAR_SIZE = 3, 3, 3
 
 
 class Shingles:
@@ -168,8 +168,8 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
     In small buckets all pairs are tried; in larger ones each row is paired with
     the bucket's row of least hash, which is the same one in most buckets of a
-    group. Buckets that then hold several components pair single rows drawn of
-    each, and in the end every pair whose classes are still in different
+    group. Buckets that then hold several components pair rows drawn at random
+    with a few others of theirs, and in the end every pair whose classes are still in different
     components is joined and tried. So no link between different components is
     lost, while a group of near copies is not expanded into all its pairs.
 
@@ -262,9 +262,11 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         if large.isEmpty():
             break
         if draw < DRAWS:
-            drawn = F.min(F.struct(F.xxhash64("cid", F.lit(draw)).alias("o"), "cid", "np")).alias("r")
-            rows = large.groupBy("token", "part").agg(drawn).select("token", "part", "r.cid", "r.np")
-            found = candidates(neighbours(rows, [n(F.col("np")), "cid"], "part", F.lit(True)))
+            # First one row of each component of a bucket, by size; then all its rows, by size and at random, and at random alone.
+            drawn = F.min(F.struct(F.xxhash64("cid").alias("o"), "cid", "np")).alias("r")
+            rows = large if draw else large.groupBy("token", "part").agg(drawn).select("token", "part", "r.cid", "r.np")
+            order = [F.shiftright("np", 32 + SIMILAR_SIZE)] * (draw < 2) + [F.xxhash64("cid", F.lit(draw))]
+            found = candidates(neighbours(rows, order, "part", F.lit(True)))
         else:
             # Sizes of a pair lie in one band or in neighbouring ones; the smaller set is sent to both.
             band = F.floor(F.log(n(F.col("np")).cast("double")) / F.lit(log(100 / percent)) + 1e-9) if percent < 100 else n(F.col("np"))
