@@ -88,13 +88,12 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(freed(check), "a long, b long"))
 
 
-def _verified(source: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set hashes whose sets are similar enough; each is tried once."""
+def _sets(source: DataFrame, cids: DataFrame, size: int) -> DataFrame:
+    """The shingles of the sets in ``cids`` (and of few others), one row each, stored; one pass over the texts."""
     spark = source.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
-    bits_of = min(MOST_FILTER_BITS, max(18, (2 * pairs.count()).bit_length() + 5))
+    bits_of = min(MOST_FILTER_BITS, max(18, cids.count().bit_length() + 5))
     word = F.shiftrightunsigned("cid", 64 - bits_of)
-    words = ends.select(word.alias("w")).groupBy(F.shiftright("w", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(w & 63 as int))")).alias("bits"))
+    words = cids.select(word.alias("w")).groupBy(F.shiftright("w", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(w & 63 as int))")).alias("bits"))
     table = words.toArrow()
     bits = np.zeros(1 << (bits_of - 6), dtype=np.int64)
     bits[table["k"].to_numpy()] = table["bits"].to_numpy()
@@ -113,6 +112,12 @@ def _verified(source: DataFrame, pairs: DataFrame, size: int, percent: int) -> D
                 if take:
                     yield pa.RecordBatch.from_arrays([pa.array(cid[take]), pa.array([s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in take], pa.binary())], ["cid", "items"])
 
+    return stored(source.mapInArrow(freed(sets), "cid long, items binary").repartition(partitions(spark), "cid").dropDuplicates(["cid"]), "items")
+
+
+def _verified(held: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set hashes whose sets, all of them in ``held``, are similar enough; each is tried once."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
@@ -122,16 +127,10 @@ def _verified(source: DataFrame, pairs: DataFrame, size: int, percent: int) -> D
                 need = -(-percent * (len(x) + len(y)) // (100 + percent))
                 if min(len(x), len(y)) < need:
                     continue
-                # Suffix filter: what lies in equal parts of the hash order bounds the overlap.
-                probe = x[len(x) // 8 :: max(1, len(x) // 8)]
-                inside = [np.diff(np.searchsorted(v, probe), prepend=0, append=len(v)) for v in (x, y)]
-                if np.minimum(*inside).sum() < need:
-                    continue
                 near = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 keep[i] = np.count_nonzero(y[near] == x) >= need
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
-    held = source.mapInArrow(freed(sets), "cid long, items binary").repartition(partitions(spark), "cid").dropDuplicates(["cid"])
     with_a = pairs.join(held.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a")
     both = with_a.join(held.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
     return cut(both.mapInArrow(freed(check), "a long, b long"))
@@ -243,12 +242,16 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     # A bucket of up to NEAR + 1 rows is settled at once: each row meets all before it. The cid is a hash, so the first one is any row.
     entries = source.mapInArrow(freed(prefixes), "token long, cid long, np long")
     small = F.col("k") <= NEAR + 1
-    met = neighbours(entries.withColumn("k", F.count("*").over(bucket)), ["cid"], "cid", small, hub=True)
+    shared = entries.withColumn("k", F.count("*").over(bucket)).where("k > 1")
+    met = neighbours(shared, ["cid"], "cid", small, hub=True)
     buckets = stored(met.where(~small | (F.size("near") > 0)), "buckets")
     sizes = known.where("slot is null").select("cid", "n", "sig").join(buckets.select("cid").union(buckets.select(F.explode("near"))).distinct(), "cid", "left_semi")
     sizes = cut(sizes.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
     pairs = tried = _plausible(candidates(buckets), sizes, percent)
-    links = _verified(source, pairs, shingle, percent)
+    held = _sets(source, pairs.select(F.explode(F.array("a", "b")).alias("cid")), shingle)
+    links = _verified(held, pairs, percent)
+    release(held)
+    held = None
     labels = cut(connected_components(links, "a", "b"))
     large = cut(buckets.where(~small).select("token", "cid", "np").dropDuplicates(["token", "cid"]))
     release(buckets)
@@ -278,12 +281,15 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         pairs = _plausible(found.join(tried, ["a", "b"], "left_anti"), sizes, percent)
         if pairs.isEmpty():
             continue
-        new = _verified(source, pairs, shingle, percent)
+        # All sets that later passes may ask for, as buckets only leave.
+        if held is None:
+            held = _sets(source, large.select("cid").distinct(), shingle)
+        new = _verified(held, pairs, percent)
         before = links, tried, labels
         links, tried = cut(links.union(new)), cut(tried.union(pairs))
         labels = cut(connected_components(links, "a", "b"))
         release(*before, new, pairs)
-    release(large, links, tried, sizes)
+    release(large, links, tried, sizes, *([] if held is None else [held]))
     classes = members.where("n > 0 and id is not null").groupBy("cid").agg(F.min("id").alias("rep"))
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -269,6 +269,50 @@ def test_language_id(spark):
     assert language_id.identify(frame(spark, [], COLUMNS)).collect() == []
 
 
+def test_language_id_against_plain_fusion(spark):
+    rng = random.Random(25)
+    pools = {k: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 6))) for _ in range(6)] for k in ("aa", "bb", "cc")}
+    rows = []
+    for i in range(90):
+        k = rng.choice(["aa", "aa", "bb", "cc"])
+        mixed = pools[k] + pools[rng.choice(["aa", "bb", "cc"])]
+        told = k if rng.random() < 0.7 else rng.choice(["aa", "bb", "zz", None])
+        host = rng.choice([f"h{k}.org", "x.org", "x.net", "plain", None, f"http://y.{k}/p"])
+        rows.append((i, " ".join(rng.choice(mixed) for _ in range(rng.randrange(0, 7))), told, host, 0))
+    rows += [(200, None, "aa", "x.org", 0), (201, "!!", None, None, 0)]
+    docs = frame(spark, rows, COLUMNS)
+    shares, model = language_id.fit(docs, "text", "lang")
+    names, trust, strength = [*shares, "und"], 0.8, 20.0
+    n = len(names)
+
+    def likelihood(text):
+        data = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").encode() + b"  "]
+        slots = [(((data[j] << 16 | data[j + 1] << 8 | data[j + 2]) * 0x9E3779B1) % 2**32) >> 18 for j in range(len(data) - 2) if data[j] != 32]
+        return [sum(model[k][s] for s in slots) * min(1.0, 200 / len(slots)) for k in range(n)] if slots else None
+
+    ll = {r[0]: likelihood(r[1]) for r in rows}
+    host = {r[0]: None if r[3] is None else re.sub("^[^:/?#]*://", "", r[3]).split("/")[0].lower() for r in rows}
+    suffix = lambda h: h.rsplit(".", 1)[1] if "." in h else ""
+    by_host, by_suffix, every = defaultdict(lambda: [0] * n), defaultdict(lambda: [0] * n), [0] * n
+    for i, x in ll.items():
+        if x is not None and host[i] is not None:
+            k = int(np.argmax(x))
+            for counts in (by_host[host[i]], by_suffix[suffix(host[i])], every):
+                counts[k] += 1
+    flat = [(c + 1) / (sum(every) + n) for c in every]
+    smooth = lambda counts, prior: [(c + strength * p) / (sum(counts) + strength) for c, p in zip(counts, prior, strict=True)]
+    got = {r.doc_id: r for r in language_id.identify(docs, trust=trust).collect()}
+    for i, _, told, _, _ in rows:
+        if ll[i] is None:
+            assert (got[i].language, got[i].confidence) == ("und", 0)
+            continue
+        prior = smooth(by_host[host[i]], smooth(by_suffix[suffix(host[i])], flat)) if host[i] in by_host else [1 / n] * n
+        said = [0.0] * n if told not in shares else [np.log(trust) if name == told else np.log((1 - trust) / (n - 1)) for name in names]
+        post = [a + b + np.log(p) for a, b, p in zip(ll[i], said, prior, strict=True)]
+        best = int(np.argmax(post))
+        assert got[i].language == names[best] and abs(got[i].confidence - 1 / sum(np.exp(x - post[best]) for x in post)) < 1e-4
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
     told = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0, F.col("lang"))
