@@ -8,10 +8,11 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from .shared import small_batches
 from .textkit import freed, slices, texts_of
 
 #: Words whose ids a task remembers, and bytes of text whose words are looked up at once.
-CACHE_WORDS, BLOCK_BYTES = 250_000, 1 << 20
+CACHE_WORDS, BLOCK_BYTES = 300_000, 1 << 22
 #: Ids that a task holds and packs together.
 BUCKET_IDS = 1 << 21
 
@@ -117,23 +118,43 @@ class Encoder:
                 yield from self._words(texts[lo:hi])
 
     def _words(self, texts: list[bytes]) -> Iterator[bytes]:
-        known = self.known
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        fresh = set().union(*words).difference(known)
-        letters = {w for w in fresh if w.isalpha() and w.islower()}
-        split = {w: _parts(w) for w in fresh - letters}
-        stems = {s for s, _, plain in split.values() if plain}
-        others = {s for s, _, plain in split.values() if not plain} | {t for _, t, _ in split.values()}
-        new = self._letters(list(letters | stems.difference(known)))
-        new |= self._marked(list(others.difference(known, new)))
-        known |= new
-        composed = {w: known[s] + known[t] if t else known[s] for w, (s, t, _) in split.items()}
-        known |= composed
-        for ws in words:
-            yield b"".join(map(known.__getitem__, ws))
+        """Splits and numbers all words outside of Python, which sees each different word once."""
+        column = pa.array(texts, pa.binary()).view(pa.string())
+        special = pc.match_substring(column, "<|")
+        listed = pc.ascii_split_whitespace(pc.if_else(special, column, pc.ascii_lower(column)))
+        coded = listed.flatten().dictionary_encode()
+        every = coded.dictionary.view(pa.binary()).to_pylist()
+        self._learn([w for w in every if w not in self.known])
+        found = [self.known[w] for w in every]
+        size = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) >> 2
+        flat, which = np.frombuffer(b"".join(found), dtype="<u4"), coded.indices.to_numpy()
+        length = size[which]
+        end = np.cumsum(length, dtype=np.int32)
+        ids = flat[np.repeat((np.cumsum(size, dtype=np.int32) - size)[which] - (end - length), length) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
+        edge = np.concatenate((np.zeros(1, dtype=np.int32), end))[listed.offsets.to_numpy()].tolist()
+        for lo, hi in pairwise(edge):
+            yield ids[lo:hi].tobytes()
         # Beyond the limit words are looked up anew in each block.
-        for w in list(islice(reversed(known), max(0, len(known) - CACHE_WORDS))):
-            del known[w]
+        for w in list(islice(reversed(self.known), max(0, len(self.known) - CACHE_WORDS))):
+            del self.known[w]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Add words to the known ones."""
+        known = self.known
+        column = pa.array(fresh, pa.binary()).view(pa.string())
+        stem = pc.ascii_lower(pc.ascii_rtrim(column, _TAIL.decode()))
+        # Most words are ASCII letters, with or without punctuation after them.
+        plain = pc.ascii_is_alpha(stem).to_pylist()
+        stems = stem.view(pa.binary()).to_pylist()
+        letters = {s for s, ok in zip(stems, plain, strict=True) if ok}
+        odd = {w: _parts(w) for w, ok in zip(fresh, plain, strict=True) if not ok}
+        letters.update(s for s, _, ok in odd.values() if ok)
+        others = {s for s, _, ok in odd.values() if not ok}
+        split = [(w, s, w[len(s) :]) if ok else (w, *odd[w][:2]) for w, s, ok in zip(fresh, stems, plain, strict=True)]
+        others.update(t for _, _, t in split)
+        known |= self._letters(list(letters.difference(known)))
+        known |= self._marked(list(others.difference(known)))
+        known |= {w: known[s] + known[t] if t else known[s] for w, s, t in split if w != s}
 
 
 def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
