@@ -121,10 +121,11 @@ def format_chats(
     answers = F.when(F.col("role") == "tool", F.try_variant_get(F.element_at("m", "tool_call_id"), "$", "string"))
     kind = F.when(F.size(calls) > 0, "call").when(answers.isNotNull(), "result").otherwise("plain")
     base = base.select("*", kind.alias("kind"), calls.alias("tool_calls"), answers.alias("id"))
-    # Calls and results alone are joined; they hold identifiers and turns, not texts.
-    made = base.where("kind = 'call' and conv is not null").select("conv", "turn", F.explode("tool_calls").alias("c")).select("conv", "turn", F.try_variant_get("c", "$.id", "string").alias("id")).where("id is not null")
-    first_call = made.groupBy("conv", "id").agg(F.min("turn").alias("call_turn"))
-    steps = base.where("conv is not null").groupBy("conv", "turn", "id").agg(F.count("*").alias("n")).join(first_call, ["conv", "id"], "left")
+    # Identifiers and turns, without texts, are stored once; links and the order are made of them.
+    call_ids = F.when(F.col("kind") == "call", F.transform("tool_calls", lambda c: F.try_variant_get(c, "$.id", "string")))
+    light = stored(base.where("conv is not null").select("conv", "turn", "id", call_ids.alias("call_ids")), "links")
+    first_call = light.select("conv", "turn", F.explode("call_ids").alias("id")).where("id is not null").groupBy("conv", "id").agg(F.min("turn").alias("call_turn"))
+    steps = light.groupBy("conv", "turn", "id").agg(F.count("*").alias("n")).join(first_call, ["conv", "id"], "left")
     steps = steps.withColumns({"order_turn": F.greatest("turn", F.coalesce("call_turn", "turn")), "order_rank": F.when(F.col("call_turn").isNotNull(), 1).otherwise(0)})
     same = lambda a, b, keys: [a[k] == b[k] if k == "conv" else a[k].eqNullSafe(b[k]) for k in keys]
     positions = order_positions(steps)
