@@ -21,6 +21,8 @@ FULL_EVIDENCE = 200
 UNKNOWN = "und"
 #: Parts that the rows of one host are dealt to.
 SALTS = 32
+#: Size of the hosts' priors up to which every task gets them all, and no text is shuffled.
+BROADCAST_BYTES = 4 << 20
 
 _LETTER = np.full(256, 0x20, dtype=np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -175,11 +177,15 @@ def identify(
     overall = cut(vectors([]).select(flat.alias("all")))
     suffixes = vectors(["suffix"]).crossJoin(F.broadcast(overall)).select("suffix", smooth(F.col("v"), F.col("all")).alias("sv"))  # one row
     hosts = vectors(["host", "suffix"]).join(suffixes, "suffix").select("host", smooth(F.col("v"), F.col("sv")).alias("prior"))
-    # One host may hold a large part of all rows: its rows are dealt out by salt, and every salt has all priors.
-    hosts = cut(hosts).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    hosts = cut(hosts)
+    if hosts.count() * (len(names) + 8) * 8 <= BROADCAST_BYTES:
+        hosts, by = F.broadcast(hosts), ["host"]
+    else:
+        # One host may hold a large part of all rows: its rows are dealt out by salt, and every salt has all priors.
+        hosts, by = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["host", "salt"]
 
     agrees = F.array(*[F.when(F.col("declared").isin(languages), F.when(F.col("declared") == name, F.lit(float(np.log(trust)))).otherwise(F.lit(float(np.log((1 - trust) / max(1, len(names) - 1)))))).otherwise(F.lit(0.0)) for name in names])
-    fused = scored.join(hosts, ["host", "salt"], "left").select(
+    fused = scored.join(hosts, by, "left").select(
         *[f"c{i}" for i in range(len(keep))],
         "ll",
         F.zip_with(F.zip_with("ll", agrees, lambda a, b: a + b), F.coalesce("prior", F.array_repeat(F.lit(1.0 / len(names)), len(names))), lambda a, p: a + F.log(p)).alias("post"),

@@ -20,7 +20,9 @@ SKETCH_BITS = 18
 MOST_FILTER_BITS = 26
 #: Rows before it that each row is paired with in small buckets and in draws from large ones, draws before all pairs that are
 #: still apart are joined, and the step of sizes (2**3) within which one of them is at random.
-NEAR, DRAWS, SIMILAR_SIZE = 3, 3, 3
+NEAR, DRAWS, SIMILAR_SIZE = 3, 4, 3
+#: Documents up to which those whose sets are compared are picked by a broadcast of their ids; beyond, all texts pass the filter.
+BROADCAST_IDS = 500_000
 
 
 class Shingles:
@@ -82,18 +84,23 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             apart = np.array([_differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], dtype=np.int64)
             good = pa.array(apart <= n - 2 * -(-percent * n // (100 + percent)))
-            yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(good) for c in (*batch.columns[:2], *batch.columns[6:])], ["a", "b", "ra", "rb"])
 
-    one, two = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
-    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(freed(check), "a long, b long"))
+    one, two = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"), F.col("rep").alias(f"r{c}")) for c in "ab")
+    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb", "ra", "rb").mapInArrow(freed(check), "a long, b long, ra long, rb long"))
 
 
-def _sets(source: DataFrame, cids: DataFrame, size: int) -> DataFrame:
-    """The shingles of the sets in ``cids`` (and of few others), one row each, stored; one pass over the texts."""
+def _sets(source: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """The shingles of the sets in ``pairs`` (and of few others), one row each, stored; their texts alone are read where they are few."""
     spark = source.sparkSession
-    bits_of = min(MOST_FILTER_BITS, max(18, cids.count().bit_length() + 5))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("ra").alias("id")), F.struct(F.col("b").alias("cid"), F.col("rb").alias("id")))).alias("e")).select("e.*")
+    ends = cut(ends.distinct())
+    count = ends.count()
+    if count <= BROADCAST_IDS:
+        source = source.join(F.broadcast(ends.select("id").distinct()), "id", "left_semi")
+    bits_of = min(MOST_FILTER_BITS, max(18, count.bit_length() + 5))
     word = F.shiftrightunsigned("cid", 64 - bits_of)
-    words = cids.select(word.alias("w")).groupBy(F.shiftright("w", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(w & 63 as int))")).alias("bits"))
+    words = ends.select(word.alias("w")).groupBy(F.shiftright("w", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(w & 63 as int))")).alias("bits"))
     table = words.toArrow()
     bits = np.zeros(1 << (bits_of - 6), dtype=np.int64)
     bits[table["k"].to_numpy()] = table["bits"].to_numpy()
@@ -112,11 +119,14 @@ def _sets(source: DataFrame, cids: DataFrame, size: int) -> DataFrame:
                 if take:
                     yield pa.RecordBatch.from_arrays([pa.array(cid[take]), pa.array([s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in take], pa.binary())], ["cid", "items"])
 
-    return stored(source.mapInArrow(freed(sets), "cid long, items binary").repartition(partitions(spark), "cid").dropDuplicates(["cid"]), "items")
+    held = stored(source.select("id", "t").mapInArrow(freed(sets), "cid long, items binary").repartition(partitions(spark), "cid").dropDuplicates(["cid"]), "items")
+    release(ends)
+    return held
 
 
-def _verified(held: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set hashes whose sets, all of them in ``held``, are similar enough; each is tried once."""
+def _verified(source: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set hashes whose sets are similar enough; each is tried once."""
+    held = _sets(source, pairs, size)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,9 +141,11 @@ def _verified(held: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep[i] = np.count_nonzero(y[near] == x) >= need
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
-    with_a = pairs.join(held.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a")
+    with_a = pairs.select("a", "b").join(held.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a")
     both = with_a.join(held.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-    return cut(both.mapInArrow(freed(check), "a long, b long"))
+    links = cut(both.mapInArrow(freed(check), "a long, b long"))
+    release(held)
+    return links
 
 
 def _may_match(n1, p1, n2, p2, percent: int):
@@ -245,13 +257,12 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     shared = entries.withColumn("k", F.count("*").over(bucket)).where("k > 1")
     met = neighbours(shared, ["cid"], "cid", small, hub=True)
     buckets = stored(met.where(~small | (F.size("near") > 0)), "buckets")
-    sizes = known.where("slot is null").select("cid", "n", "sig").join(buckets.select("cid").union(buckets.select(F.explode("near"))).distinct(), "cid", "left_semi")
-    sizes = cut(sizes.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
-    pairs = tried = _plausible(candidates(buckets), sizes, percent)
-    held = _sets(source, pairs.select(F.explode(F.array("a", "b")).alias("cid")), shingle)
-    links = _verified(held, pairs, percent)
-    release(held)
-    held = None
+    sizes = known.where("slot is null and id is not null").select("id", "cid", "n", "sig").join(buckets.select("cid").union(buckets.select(F.explode("near"))).distinct(), "cid", "left_semi")
+    sizes = cut(sizes.groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("id").alias("rep")))
+    pairs = _plausible(candidates(buckets), sizes, percent)
+    tried = cut(pairs.select("a", "b"))
+    links = _verified(source, pairs, shingle, percent)
+    release(pairs)
     labels = cut(connected_components(links, "a", "b"))
     large = cut(buckets.where(~small).select("token", "cid", "np").dropDuplicates(["token", "cid"]))
     release(buckets)
@@ -273,7 +284,9 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         else:
             # Sizes of a pair lie in one band or in neighbouring ones; the smaller set is sent to both.
             band = F.floor(F.log(n(F.col("np")).cast("double")) / F.lit(log(100 / percent)) + 1e-9) if percent < 100 else n(F.col("np"))
-            left = large.select("token", F.explode(F.array(band, band + 1)).alias("band"), "cid", "np", "part")
+            # A smaller set shares one of its first shingles, fewer than a larger one has to show.
+            first = p(F.col("np")) <= n(F.col("np")) - F.ceil(F.lit(2 * percent) * n(F.col("np")) / F.lit(100 + percent))
+            left = large.where(first).select("token", F.explode(F.array(band, band + 1)).alias("band"), "cid", "np", "part")
             right = large.select("token", band.alias("band"), F.struct("cid", "np", "part").alias("o"))
             ordered = (n(F.col("np")) < n(F.col("o.np"))) | ((n(F.col("np")) == n(F.col("o.np"))) & (F.col("cid") < F.col("o.cid")))
             near = left.join(right, ["token", "band"]).where(ordered & fits(F.col("o"), "part"))
@@ -281,15 +294,12 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         pairs = _plausible(found.join(tried, ["a", "b"], "left_anti"), sizes, percent)
         if pairs.isEmpty():
             continue
-        # All sets that later passes may ask for, as buckets only leave.
-        if held is None:
-            held = _sets(source, large.select("cid").distinct(), shingle)
-        new = _verified(held, pairs, percent)
+        new = _verified(source, pairs, shingle, percent)
         before = links, tried, labels
-        links, tried = cut(links.union(new)), cut(tried.union(pairs))
+        links, tried = cut(links.union(new)), cut(tried.union(pairs.select("a", "b")))
         labels = cut(connected_components(links, "a", "b"))
         release(*before, new, pairs)
-    release(large, links, tried, sizes, *([] if held is None else [held]))
+    release(large, links, tried, sizes)
     classes = members.where("n > 0 and id is not null").groupBy("cid").agg(F.min("id").alias("rep"))
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -269,7 +269,9 @@ def test_language_id(spark):
     assert language_id.identify(frame(spark, [], COLUMNS)).collect() == []
 
 
-def test_language_id_against_plain_fusion(spark):
+@pytest.mark.parametrize("most", [4 << 20, 0])
+def test_language_id_against_plain_fusion(spark, monkeypatch, most):
+    monkeypatch.setattr(language_id, "BROADCAST_BYTES", most)
     rng = random.Random(25)
     pools = {k: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 6))) for _ in range(6)] for k in ("aa", "bb", "cc")}
     rows = []
