@@ -120,14 +120,20 @@ class FastPlan:
 
     def guards(self, text: Column) -> tuple[Column, Column, Column]:
         """Whether the quick pattern takes a line, whether the full one does, and what is whole of a line that does not fit, its brackets closed."""
-        quick, full, start = Grammar(self.root, True, _typed), Grammar(self.root), Grammar(self.root, depth=START_DEPTH)
-        pattern = quick.whole()
-        taken = text.rlike(pattern) if len(pattern) < MOST_CONSTANT else F.regexp_extract(text, pattern, 0) != ""
-        begun = F.regexp_extract(text, start.start(), 0)
+        quick, middle, full = Grammar(self.root, True, _typed), Grammar(self.root, depth=START_DEPTH), Grammar(self.root)
+
+        def fits(grammar: Grammar) -> Column:
+            # Patterns that generated code can hold are compiled once for all rows.
+            pattern = grammar.whole()
+            return F.coalesce(text.rlike(pattern) if len(pattern) < MOST_CONSTANT else F.regexp_extract(text, pattern, 0) != "", F.lit(False))
+
+        # Only lines with many brackets can be nested deeper than the middle pattern takes.
+        brackets = F.length(text) - F.length(F.translate(text, "[{", ""))
+        begun = F.regexp_extract(text, middle.start(), 0)
         left = F.regexp_replace(F.regexp_replace(begun, STRINGS, ""), NO_BRACKETS, "")
-        for _ in range(start.levels()):
+        for _ in range(middle.levels()):
             left = F.regexp_replace(left, r"\{\}|\[\]", "")
-        return F.coalesce(taken, F.lit(False)), F.coalesce(F.regexp_extract(text, full.whole(), 0) != "", F.lit(False)), F.concat(begun, F.translate(F.reverse(left), "{[", "}]"))
+        return fits(quick), fits(middle) | ((brackets > START_DEPTH) & fits(full)), F.concat(begun, F.translate(F.reverse(left), "{[", "}]"))
 
     def parsed(self, text: Column, exact: bool) -> Column:
         kind = _json_type(self.root, exact)
