@@ -21,9 +21,9 @@ from .shared import small_batches
 from .textkit import freed, slices, texts_of
 
 #: Words whose ids a task remembers, and bytes of text whose words are looked up at once.
-CACHE_WORDS, BLOCK_BYTES = 300_000, 1 << 22
+CACHE_WORDS, BLOCK_BYTES = 200_000, 1 << 21
 #: Ids that a task holds and packs together.
-BUCKET_IDS = 1 << 21
+BUCKET_IDS = 1 << 20
 
 #: A word of its own in the vocabulary, put between words that are encoded together.
 _MARK = "\x01"
