@@ -5,10 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import islice, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +67,8 @@ class Encoder:
         model = held["model"]
         first = ((held.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.by_word = held.get("normalizer") == _WORD_BY_WORD["normalizer"] and first.get("type") == "Split" and first.get("pattern") == {"Regex": _WORD_BY_WORD["pattern"]} and model.get("end_of_word_suffix") == _WORD_BY_WORD["suffix"]
-        self.known: dict[bytes, bytes] = {}
+        # Words and, in their order, how many ids each has and the ids in one row.
+        self.known, self.size, self.flat = pa.array([], pa.string()), np.zeros(0, dtype=np.int32), np.zeros(0, dtype="<u4")
         if not self.by_word:
             return
         self.bare = Tokenizer(self.whole.model)
@@ -76,18 +76,17 @@ class Encoder:
         self.ends = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
         self.ends[[i for t, i in model["vocab"].items() if t.endswith(_WORD_BY_WORD["suffix"])]] = True
 
-    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of lower-case words of letters: each word ends with its only id of a word's end."""
-        out: dict[bytes, bytes] = {}
-        ascii_words = [w for w in words if w.isascii()]
-        parts = [some[i : i + 2048] for some in (ascii_words, [w for w in words if not w.isascii()]) for i in range(0, len(some), 2048)]
-        plain = [b" ".join(p).decode("latin-1") for p in parts]
+    def _letters(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words of letters in one row, and how many are each word's: a word ends with its only id of a word's end."""
+        parts = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(words), 2048), len(words)), pa.int32()), words.view(pa.binary()))
+        plain = [t.decode("latin-1") for t in pc.binary_join(parts, b" ").to_pylist()]
         plain = [t if t.isascii() else t.translate(_LETTERS) for t in plain]
-        for part, coded in zip(parts, self.bare.encode_batch_fast(plain, add_special_tokens=False), strict=True):
-            ids = np.array(coded.ids, dtype="<u4")
-            raw, edge = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            out.update(zip(part, [raw[a:b] for a, b in zip([0, *edge[:-1]], edge, strict=True)], strict=True))
-        return out
+        ids = [np.array(c.ids, dtype="<u4") for c in self.bare.encode_batch_fast(plain, add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, dtype="<u4"), *ids])
+        size = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+        if len(size) != len(words):
+            raise ValueError("a word of letters does not end with one id of a word's end")
+        return flat, size
 
     def _marked(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of any words, many at a time: a mark between words shows where each ends."""
@@ -118,43 +117,74 @@ class Encoder:
                 yield from self._words(texts[lo:hi])
 
     def _words(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Splits and numbers all words outside of Python, which sees each different word once."""
+        """Splits and numbers all words outside of Python, which sees only words that are new."""
         column = pa.array(texts, pa.binary()).view(pa.string())
         special = pc.match_substring(column, "<|")
         listed = pc.ascii_split_whitespace(pc.if_else(special, column, pc.ascii_lower(column)))
         coded = listed.flatten().dictionary_encode()
-        every = coded.dictionary.view(pa.binary()).to_pylist()
-        self._learn([w for w in every if w not in self.known])
-        found = [self.known[w] for w in every]
-        size = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) >> 2
-        flat, which = np.frombuffer(b"".join(found), dtype="<u4"), coded.indices.to_numpy()
+        flat, size = self._coded(coded.dictionary)
+        which = coded.indices.to_numpy()
         length = size[which]
-        end = np.cumsum(length, dtype=np.int32)
-        ids = flat[np.repeat((np.cumsum(size, dtype=np.int32) - size)[which] - (end - length), length) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
-        edge = np.concatenate((np.zeros(1, dtype=np.int32), end))[listed.offsets.to_numpy()].tolist()
+        ids = _taken(flat, (np.cumsum(size, dtype=np.int32) - size)[which], length)
+        edge = np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(length, dtype=np.int32)))[listed.offsets.to_numpy()].tolist()
         for lo, hi in pairwise(edge):
             yield ids[lo:hi].tobytes()
+
+    def _coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words in one row, and how many are each word's.
+
+        Most words are Latin letters, with or without punctuation after them; what is looked up is then the letters and the punctuation.
+        """
+        stem = pc.ascii_rtrim(words, _TAIL.decode())
+        plain = _latin(stem)
+        data, edge = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8), words.buffers()[1]
+        edge = np.frombuffer(edge, dtype=np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, dtype=np.int32)
+        tail = np.where(plain.to_numpy(zero_copy_only=False), np.diff(edge) - pc.binary_length(stem).to_numpy(), 0).astype(np.int32)
+        tailed = np.flatnonzero(tail)
+        length = tail[tailed]
+        tails = pa.StringArray.from_buffers(len(tailed), pa.py_buffer(np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(length, dtype=np.int32)))), pa.py_buffer(_taken(data, edge[tailed + 1] - length, length)))
+        keys = pa.concat_arrays([pc.if_else(plain, pc.utf8_lower(stem), words), tails]).dictionary_encode()
+        flat, at, size = self._looked_up(keys.dictionary)
+        which = keys.indices.to_numpy()
+        # Of each word two runs, the second one empty where no punctuation is cut off.
+        begin, length = np.zeros((2, len(words), 2), dtype=np.int32)
+        begin[:, 0], length[:, 0] = at[which[: len(words)]], size[which[: len(words)]]
+        begin[tailed, 1], length[tailed, 1] = at[which[len(words) :]], size[which[len(words) :]]
+        return _taken(flat, begin.reshape(-1), length.reshape(-1)), length.sum(axis=1, dtype=np.int32)
+
+    def _looked_up(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row of ids, and where the ids of each of some different keys begin and how many they are; learns what is new."""
+        where = pc.fill_null(pc.index_in(keys, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+        new = np.flatnonzero(where < 0)
+        fresh = keys.take(pa.array(new))
+        # ASCII letters, other Latin letters, the rest.
+        kind = 2 - _latin(fresh).to_numpy(zero_copy_only=False).astype(np.int8) - pc.ascii_is_alpha(fresh).to_numpy(zero_copy_only=False)
+        order = np.argsort(kind, kind="stable")
+        new, fresh, letters = new[order], fresh.take(pa.array(order)), int((kind < 2).sum())
+        where[new] = len(self.known) + np.arange(len(new), dtype=np.int32)
+        found, count = self._letters(fresh.slice(0, letters))
+        split = [_parts(w) for w in fresh.slice(letters).view(pa.binary()).to_pylist()]
+        raw = self._marked(list({x for both in split for x in both}))
+        others = [raw[s] + raw[t] if t else raw[s] for s, t in split]
+        flat = np.concatenate((self.flat, found, np.frombuffer(b"".join(others), dtype="<u4")))
+        size = np.concatenate((self.size, count, np.fromiter(map(len, others), dtype=np.int64, count=len(others)) >> 2)).astype(np.int32)
+        end = np.cumsum(size, dtype=np.int32)
         # Beyond the limit words are looked up anew in each block.
-        for w in list(islice(reversed(self.known), max(0, len(self.known) - CACHE_WORDS))):
-            del self.known[w]
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        """Add words to the known ones."""
-        known = self.known
-        column = pa.array(fresh, pa.binary()).view(pa.string())
-        stem = pc.ascii_lower(pc.ascii_rtrim(column, _TAIL.decode()))
-        # Most words are ASCII letters, with or without punctuation after them.
-        plain = pc.ascii_is_alpha(stem).to_pylist()
-        stems = stem.view(pa.binary()).to_pylist()
-        letters = {s for s, ok in zip(stems, plain, strict=True) if ok}
-        odd = {w: _parts(w) for w, ok in zip(fresh, plain, strict=True) if not ok}
-        letters.update(s for s, _, ok in odd.values() if ok)
-        others = {s for s, _, ok in odd.values() if not ok}
-        split = [(w, s, w[len(s) :]) if ok else (w, *odd[w][:2]) for w, s, ok in zip(fresh, stems, plain, strict=True)]
-        others.update(t for _, _, t in split)
-        known |= self._letters(list(letters.difference(known)))
-        known |= self._marked(list(others.difference(known)))
-        known |= {w: known[s] + known[t] if t else known[s] for w, s, t in split if w != s}
+        if room := min(CACHE_WORDS - len(self.known), len(new)):
+            self.known = pa.concat_arrays([self.known, fresh.slice(0, room)])
+            self.size, self.flat = size[: len(self.known)].copy(), flat[: end[len(self.known) - 1]].copy()
+        return flat, (end - size)[where], size[where]
+
+
+def _latin(words: pa.Array) -> pa.Array:
+    """Whether words are of Latin letters whose lower case is one letter; others depend on what stands beside them."""
+    return pc.and_(pc.utf8_is_alpha(words), pc.invert(pc.match_substring_regex(words, "[^\\x{00}-\\x{24F}]|\\x{130}")))
+
+
+def _taken(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Runs of a row one after the other."""
+    end = np.cumsum(length, dtype=np.int32)
+    return flat[np.repeat(begin - (end - length), length) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
 
 
 def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -169,6 +199,23 @@ def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Keys and texts of a whole block, from several batches where texts are short, as each block is looked up among all known words."""
+    keys, texts, held = [], [], 0
+    for batch in batches:
+        column = texts_of(batch.column(1))
+        for lo, hi in slices(column, BLOCK_BYTES >> 3):
+            size = int(column.size[lo:hi].sum()) + 8 * (hi - lo)
+            if texts and held + size > BLOCK_BYTES:
+                yield pa.concat_arrays(keys), texts
+                keys, texts, held = [], [], 0
+            keys.append(batch.column(0).take(pa.array(np.arange(lo, hi))))
+            texts += column[lo:hi]
+            held += size
+    if texts:
+        yield pa.concat_arrays(keys), texts
+
+
 def _segments(text: bytes) -> Iterator[bytes]:
     """A long text in parts that end at white space."""
     at = 0
@@ -178,18 +225,12 @@ def _segments(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _parts(word: bytes) -> tuple[bytes, bytes, bool]:
-    """A word's stem and the punctuation after it, whose ids one after the other are the word's; whether the stem is of lower-case letters."""
+def _parts(word: bytes) -> tuple[bytes, bytes]:
+    """A word's stem and the punctuation after it, whose ids one after the other are the word's."""
     stem = word.rstrip(_TAIL)
-    if word.isascii():
-        if b"<|" in word:
-            return word, b"", False
-        return (stem.lower(), word[len(stem) :], stem.isalpha()) if stem.isalnum() else (word.lower(), b"", False)
-    text = stem.decode()
-    # Latin letters whose lower case is one letter; others depend on what stands beside them.
-    if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
-        return unicodedata.normalize("NFC", text).lower().encode(), word[len(stem) :], True
-    return word, b"", False
+    if not word.isascii() or b"<|" in word:
+        return word, b""
+    return (stem.lower(), word[len(stem) :]) if stem.isalnum() else (word.lower(), b"")
 
 
 def plan(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -287,16 +328,14 @@ def pack(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
         base, keys, ids, held = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
-            texts = texts_of(batch.column(1))
-            for lo, hi in slices(texts, BLOCK_BYTES):
-                keys.append(batch.column(0).take(pa.array(np.arange(lo, hi))))
-                for raw in encoder.encode(texts[lo:hi]):
-                    ids.append(raw + end)
-                    held += len(raw) // 4 + 1
-                if held >= BUCKET_IDS:
-                    yield from packed(keys, ids, base)
-                    base, keys, ids, held = base + held // capacity + 64, [], [], 0
+        for key, texts in _blocks(batches):
+            keys.append(key)
+            for raw in encoder.encode(texts):
+                ids.append(raw + end)
+                held += len(raw) // 4 + 1
+            if held >= BUCKET_IDS:
+                yield from packed(keys, ids, base)
+                base, keys, ids, held = base + held // capacity + 64, [], [], 0
         if ids:
             yield from packed(keys, ids, base)
 

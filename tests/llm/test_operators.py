@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,33 @@ def test_packing_of_very_long_texts(spark, monkeypatch):
     check_packing(rows, got, queries.tokenizer_path(), 2048)
 
 
+def test_packing_sees_only_odd_words_in_python(monkeypatch):
+    rng = random.Random(46)
+    letters = "abcxyzéüßøñıŉµǆÀÉ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) + rng.choice(("", ".", ",", "&&&", "!)")) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(150)] + ["", " ", "91, 中. <|endoftext|> &&& É&&&"]
+    seen, parts = [], packing._parts
+    monkeypatch.setattr(packing, "_parts", lambda w: seen.append(w) or parts(w))
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 4000)
+    for most in (100, 250_000):
+        monkeypatch.setattr(packing, "CACHE_WORDS", most)
+        encoder = packing.Encoder(queries.tokenizer_path())
+        for _ in range(2):
+            assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode([t.encode() for t in texts])] == [encoder.whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert 0 < len(encoder.known) <= most
+        # Words of Latin letters and the punctuation after them are split without a call for each.
+        assert not [w for w in seen if w and w.decode()[0] in letters]
+
+
+def test_packing_gathers_short_texts_over_batches(monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 8000)
+    rows = [(i, "" if i % 3 else None if i % 2 else "x" * (i % 50)) for i in range(3000)] + [(3000, "y" * 20_000), (3001, "z")]
+    table = pa.table({"k": [k for k, _ in rows], "t": [t for _, t in rows]})
+    blocks = [(k.to_pylist(), t) for k, t in packing._blocks(iter(table.to_batches(max_chunksize=7)))]
+    assert [(k, t) for keys, texts in blocks for k, t in zip(keys, texts, strict=True)] == [(k, (t or "").encode()) for k, t in rows]
+    assert len(blocks) < 15 and all(len(t) == 1 or sum(map(len, t)) + 8 * len(t) <= 8000 for _, t in blocks)
+
+
 def brute_license(text, base):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     places, labels = [], set()
