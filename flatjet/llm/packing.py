@@ -20,7 +20,7 @@ from .shared import small_batches
 from .textkit import freed, slices, texts_of
 
 #: Words whose ids a task remembers, and bytes of text whose words are looked up at once.
-CACHE_WORDS, BLOCK_BYTES = 250_000, 1 << 22
+CACHE_WORDS, BLOCK_BYTES = 250_000, 1 << 21
 #: Ids that a task holds and packs together.
 BUCKET_IDS = 1 << 20
 
